@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 from .mixing import op3_mixing
-
-QUERIES = {"op3_mixing": op3_mixing}
+from .sharding import op6_sharding
+from .simhash import op7_simhash
+
+QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op6_sharding": op6_sharding,
+    "op7_simhash": op7_simhash,
+}
 
 ORACLE_SQL: dict[str, str] = {}
