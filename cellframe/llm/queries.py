@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .mixing import op3_mixing
+from .packing import op4_packing
 from .sharding import op6_sharding
 from .simhash import op7_simhash
 
 QUERIES = {
     "op3_mixing": op3_mixing,
+    "op4_packing": op4_packing,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
 }
