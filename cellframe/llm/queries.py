@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from .langid import op2_langid
 from .mixing import op3_mixing
 from .packing import op4_packing
+from .quality import op8_quality
 from .sharding import op6_sharding
 from .simhash import op7_simhash
+from .token_counts import op1_token_counts
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_langid": op2_langid,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
