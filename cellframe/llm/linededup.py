@@ -7,8 +7,8 @@ fingerprints are few, and a run that two places share has the same windows and s
 1. Fingerprints that occur at one place only are put aside, with all their windows: what they stand for is nowhere else.
 2. The other windows are joined, by all line hashes in them, to the first place (smallest id, then line) that has the same window; the k-th of a
    kind in a document also to the first place that is a k-th.
-3. The match is extended both ways, line by line, against the lines around the first place. What lies within MIN_WORDS words is enough: a run that
-   goes on for longer has another window there.
+3. The match is extended both ways, line by line while they agree, by lines that lie within MIN_WORDS words of it. (A repeated run that goes on for
+   longer has another window there, which is deleted on its own account.)
 4. Later copies are deleted, the first is kept.
 
 Each occurrence is joined to the first one only, never to all others, so a line that is everywhere costs one row each time.

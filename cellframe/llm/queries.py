@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .langid import op2_langid
+from .linededup import op5_line_dedup
 from .mixing import op3_mixing
 from .packing import op4_packing
 from .quality import op8_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
