@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .forest import op10_nearest
+from .hnsw import op9_embedding_dedup
 from .langid import op2_langid
 from .linededup import op5_line_dedup
 from .mixing import op3_mixing
@@ -20,6 +22,8 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {}
