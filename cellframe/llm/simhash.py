@@ -132,7 +132,7 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             f = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": f.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_hash": b["text_hash"], "fp": f.view(np.int64)})
 
     return run
 
@@ -170,15 +170,30 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, fp (the fingerprint as a signed long), component_id."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(_fingerprints(shingle), "doc_id long, fp long")
+    """One row per document: doc_id, text_hash, fp (the fingerprint as a signed long), component (a fingerprint), component_id."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInPandas(_fingerprints(shingle), "doc_id long, text_hash long, fp long")
     rows = written(rows, "simhash")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
     of = components(links(nodes.select("fp")))
     named = nodes.join(of, nodes["fp"] == of["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = written(named.join(ids, "component").select(F.col("fp").alias("_fp"), "component_id"), "simhash-ids")
-    return rows.join(named, rows["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+    named = written(named.join(ids, "component").select(F.col("fp").alias("_fp"), "component", "component_id"), "simhash-ids")
+    return rows.join(named, rows["fp"] == named["_fp"]).select("doc_id", "text_hash", "fp", "component", "component_id")
+
+
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+    """docs without all but one row of each component: the one with the smallest id (a null id only if there is no other)."""
+    found = near_duplicates(docs, text, doc_id, shingle)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("_best"))
+    # how many rows repeat the id and text of the one that stays
+    ids = best.select(F.col("_best.doc_id").alias("_id"), F.col("_best.text_hash").alias("_th")).distinct()
+    ids = written(ids, "simhash-kept")
+    rows = docs.withColumn("_id", F.col(doc_id).cast("long")).withColumn("_th", F.xxhash64(text))
+    kept = rows.join(ids.select(F.col("_id").alias("_i"), F.col("_th").alias("_t")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left_semi")
+    repeats = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeats.isEmpty():
+        kept = kept.dropDuplicates(["_id", "_th"])
+    return kept.select(*docs.columns)
 
 
 def op7_simhash(spark, sf_dir):
