@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, lookup, written
+from .common import BROADCAST_ROWS, WORD, documents, lookup, written
 
 MIN_WORDS = 50
 #: A run within a document is looked up by id and text hash.
@@ -86,7 +86,10 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_wo
     found = found.withColumn("time", F.explode(F.when(F.col("time") > 1, F.array(F.lit(1), F.col("time"))).otherwise(F.array(F.lit(1)))))
     first = found.groupBy("window", "n", "time").agg(F.min(place).alias("_first"), F.min(F.struct(place, "after", "before")).alias("_from"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     first = first.select(F.col("window").alias("_w"), F.col("n").alias("_wn"), F.col("time").alias("_wt"), "_first", F.col("_from.after").alias("_after"), F.col("_from.before").alias("_before"))
-    later = found.join(first, (F.col("window") == F.col("_w")) & (F.col("n") == F.col("_wn")) & (F.col("time") == F.col("_wt"))).filter(place != F.col("_first"))
+    # written, so that the join's two sides are plain exchanges and a window that is everywhere can be split
+    first = written(first, "first-windows")
+    small = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    later = found.join(F.broadcast(first) if small else first, (F.col("window") == F.col("_w")) & (F.col("n") == F.col("_wn")) & (F.col("time") == F.col("_wt"))).filter(place != F.col("_first"))
     down, up = _shared(F.col("after"), F.col("_after")), _shared(F.col("before"), F.col("_before"))
     later = later.select("_id", "_th", F.when(up > 0, F.element_at("before", up)["pos"]).otherwise(F.col("pos")).alias("first"), F.when(down > 0, F.element_at("after", down)["pos"]).otherwise(F.col("last")).alias("last"))
     # one row for each run of a document
@@ -118,3 +121,37 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
 
 def op5_line_dedup(spark, sf_dir):
     return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+
+
+#: The same in DuckDB's SQL, with lines in place of hashes.
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE length(text) > 0),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
+a AS (SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS BIGINT) AS from_word FROM w WHERE words > 0),
+b AS (
+  SELECT *, from_word + words AS to_word, lead({'line': line, 'pos': pos}) OVER d AS nxt, lag({'line': line, 'pos': pos}) OVER d AS prv
+  FROM a WINDOW d AS (PARTITION BY doc_id ORDER BY from_word)),
+c AS (
+  SELECT *, list(nxt) FILTER (WHERE nxt IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY to_word RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS follow,
+    list_reverse(list(prv) FILTER (WHERE prv IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY from_word RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)) AS bef
+  FROM b),
+f AS (
+  SELECT doc_id, pos, from_word, bef, list(line) OVER v AS key, max(to_word) OVER v AS reach, max(pos) OVER v AS last, last_value(follow) OVER v AS aft
+  FROM c WINDOW v AS (PARTITION BY doc_id ORDER BY from_word RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS k FROM f WHERE reach - from_word >= 50),
+h AS (SELECT *, unnest(CASE WHEN k > 1 THEN [1, k] ELSE [1] END) AS t FROM g),
+s AS (
+  SELECT *, first_value(doc_id) OVER o AS d0, first_value(pos) OVER o AS p0, first_value(aft) OVER o AS aft0, first_value(bef) OVER o AS bef0
+  FROM h WINDOW o AS (PARTITION BY key, t ORDER BY doc_id, pos)),
+n AS (
+  SELECT doc_id, pos, last, aft, bef,
+    list_position(list_append(list_transform(list_zip(coalesce(aft, []), coalesce(aft0, [])), lambda x: coalesce(x[1].line = x[2].line, false)), false), false) - 1 AS down,
+    list_position(list_append(list_transform(list_zip(coalesce(bef, []), coalesce(bef0, [])), lambda x: coalesce(x[1].line = x[2].line, false)), false), false) - 1 AS up
+  FROM s WHERE (doc_id, pos) <> (d0, p0)),
+r AS (SELECT DISTINCT doc_id, CASE WHEN up > 0 THEN bef[up].pos ELSE pos END AS first, CASE WHEN down > 0 THEN aft[down].pos ELSE last END AS last FROM n),
+x AS (SELECT l.doc_id, l.pos, l.line, bool_or(r.doc_id IS NOT NULL) AS gone FROM l LEFT JOIN r ON l.doc_id = r.doc_id AND l.pos BETWEEN r.first AND r.last GROUP BY ALL),
+y AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_deleted FROM x GROUP BY doc_id)
+SELECT d.doc_id, coalesce(y.text, d.text) AS text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted
+FROM documents d LEFT JOIN y ON d.doc_id = y.doc_id
+"""
