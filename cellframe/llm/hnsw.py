@@ -227,6 +227,8 @@ def _pairs(graph: Graph, queries: np.ndarray, beam: int, near: float) -> Iterato
     for i in range(0, len(queries), 512):
         asked, width = np.arange(i, min(i + 512, len(queries))), beam
         while len(asked):
+            # a beam over a quarter of the graph costs more than looking at all of it
+            width = size if width * 4 > size else width
             step = max(8, min(512, 2_000_000 // width))
             again = []
             for j in range(0, len(asked), step):
@@ -353,3 +355,17 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
 def op9_embedding_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir, "embeddings"))
+
+
+#: All pairs inside a label, in DuckDB's SQL; for tables small enough for that.
+OP9_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (
+  SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a),
+m AS (SELECT a, min(c) AS component_id FROM r GROUP BY a)
+SELECT e.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = e.vec_id) AS BIGINT) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM e JOIN m ON e.vec_id = m.a
+"""
