@@ -1,16 +1,16 @@
 """Sharding by sampled splitters. DataFrame operations only.
 
-Records are keyed by a 64-bit hash of their text, so equal texts are neighbours. A size-weighted sample of keys gives quantile
-boundaries that cut the keys into many ranges; the exact bytes of each range are then summed, and a range that is far too full
-(one key, or a few, hold much) is subdivided by a hash of the record. Records are put in order range by range, never as a whole:
-running bytes inside a range plus the bytes of all ranges before give each record's place, and the shard is where that place falls
-among equal parts of the total. A group of equal texts that is small beside a shard goes where its first record falls, so only
-groups too large to move as one are split.
+Records are in the order of a hash of their text, then a hash of their id: equal texts are neighbours. A size-weighted sample of text hashes gives
+quantile boundaries that cut this order into many ranges; the exact bytes of each range are then summed, and a range that is too
+full because one text holds much of it is subdivided at the hashes of ids. Records are put in order range by range, never as a whole: running bytes inside
+a range plus the bytes of all ranges before give each record's place, and the shard is where that place falls among equal parts of the total. A
+group of equal texts that is small beside a shard goes where its middle falls, so only groups too large to move as one are split. The sample
+decides how the work is dealt, not the result.
 
 The law is `bytes`: shards differ by about one record, or one small group, in size.
 
-Defined results. A null text has size 1 and crc32 of nothing (0). Nulls in the id sort first. Repeated rows are told apart by
-their place in the input. An empty table gives an empty table. Other columns are dropped.
+Defined results. A null text has size 1 and crc32 of nothing (0), like an empty one. A null id counts as an empty one. Repeated rows are told
+apart by their place in the input. An empty table gives an empty table. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -29,6 +29,11 @@ OVERFULL = 3
 WHOLE_GROUP = 0.002
 
 
+def _hash(c: Column) -> Column:
+    """60 bits of MD5, as SQL engines have it too."""
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def range_of(key: Column, splitters: list[int]) -> Column:
     """How many splitters are <= key, by two steps over short arrays."""
     if not splitters:
@@ -44,7 +49,7 @@ def splitters_of(rows: DataFrame, ranges: int, total: int) -> list[int]:
     """Boundaries of ranges of about equal bytes from a size-weighted sample of keys; the sample's size doesn't grow with the input."""
     if not total:
         return []
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(11), "_key", "doc_id", "_uid"), 11).cast("double") / F.lit(float(1 << 53))
+    draw = F.col("_h").cast("double") / F.lit(float(1 << 60))
     # a record of s bytes is drawn s * rate times on average
     hits = F.floor(F.col("size") * (ranges * PER_RANGE / total) + draw)
     sample = rows.select("_key", hits.alias("_n")).filter("_n > 0").groupBy("_key").agg(F.sum("_n").alias("_n"))
@@ -56,16 +61,23 @@ def splitters_of(rows: DataFrame, ranges: int, total: int) -> list[int]:
 def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id", ranges: int = RANGES) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot, and _key, the hash of the text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_key"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), _hash(body).alias("_key"), _hash(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("_h"))
     rows = written(rows.withColumn("_uid", F.monotonically_increasing_id()), "shard")
     total = rows.agg(F.sum("size")).first()[0] or 0
     rows = rows.withColumn("_range", range_of(F.col("_key"), splitters_of(rows, ranges, total)))
 
-    full = rows.groupBy("_range").agg(F.sum("size").alias("_bytes"))
-    full = written(full.select("_range", F.greatest(F.lit(1), F.when(F.col("_bytes") > OVERFULL * total / ranges, F.ceil(F.col("_bytes") * ranges / max(total, 1))).otherwise(1)).cast("int").alias("_parts")), "shard-ranges")
-    rows = lookup(rows, full, ["_range"]).withColumn("_part", F.pmod(F.xxhash64(F.lit(5), "doc_id", "_uid"), F.col("_parts")).cast("int"))
-
-    cell = Window.partitionBy("_range", "_part").orderBy("_key", F.col("doc_id").asc_nulls_first(), "_uid")
+    # too full ranges, and of each the text that holds most; it is subdivided if that alone is more than a range should have
+    full = rows.groupBy("_range").agg(F.sum("size").alias("_bytes")).filter(F.col("_bytes") > OVERFULL * total / ranges)
+    full = written(full.select(F.col("_range").alias("_r")), "shard-full")
+    texts = rows.join(F.broadcast(full), F.col("_range") == F.col("_r"), "left_semi").groupBy("_range", "_key").agg(F.sum("size").alias("_bytes"))
+    hot = texts.groupBy("_range").agg(F.max(F.struct("_bytes", "_key")).alias("_top")).filter(F.col("_top._bytes") > total / ranges)
+    hot = written(hot.select("_range", F.col("_top._key").alias("_hot"), F.ceil(F.col("_top._bytes") * ranges / max(total, 1)).cast("int").alias("_parts")), "shard-hot")
+    rows = lookup(rows, hot, ["_range"])
+    among = F.floor(F.col("_h").cast("double") / F.lit(float(1 << 60)) * F.col("_parts"))
+    part = F.when(F.col("_hot").isNull() | (F.col("_key") < F.col("_hot")), 0).when(F.col("_key") == F.col("_hot"), 1 + among).otherwise(F.col("_parts") + 1)
+    rows = rows.withColumn("_part", part.cast("int"))
+
+    cell = Window.partitionBy("_range", "_part").orderBy("_key", "_h", F.col("doc_id").asc_nulls_first(), "_uid")
     group = Window.partitionBy("_range", "_part", "_key")
     rows = rows.withColumn("_rank", F.row_number().over(cell)).withColumn("_before", F.sum("size").over(cell) - F.col("size"))
     rows = rows.withColumn("_group", F.sum("size").over(group)).withColumn("_first", F.min("_before").over(group))
@@ -75,7 +87,7 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "d
     cells = rows.groupBy("_range", "_part").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
     cells = cells.select("_range", "_part", F.coalesce(F.sum("_bytes").over(order), F.lit(0)).alias("_offset"), F.coalesce(F.sum("_rows").over(order), F.lit(0)).alias("_rows_before"))
     rows = lookup(rows, written(cells, "shard-cells"), ["_range", "_part"])
-    together = (F.col("_group") <= WHOLE_GROUP * total / shards) & (F.col("_parts") == 1)
+    together = (F.col("_group") <= WHOLE_GROUP * total / shards) & (F.col("_hot").isNull() | (F.col("_key") != F.col("_hot")))
     place = F.col("_offset") + F.when(together, F.col("_first") + F.col("_group") / 2).otherwise(F.col("_before") + F.col("size") / 2)
     rows = rows.withColumn("shard", F.least(F.lit(shards - 1), F.floor(place * shards / F.lit(max(total, 1)))).cast("int")).withColumn("_rank", F.col("_rows_before") + F.col("_rank"))
     # a small group after a half-counted one may fall behind it, so slots are counted inside cells, not taken from the overall rank
@@ -90,3 +102,21 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "d
 def op6_sharding(spark, sf_dir):
     out = shard(documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same in DuckDB's SQL, by one order over all rows.
+OP6_SQL = """
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, coalesce(text, '') AS body,
+    ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS k, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
+  FROM documents),
+o AS (
+  SELECT *, sum(size) OVER (ORDER BY k, h, doc_id) - size AS before, sum(size) OVER (PARTITION BY k) AS grp, sum(size) OVER () AS total, row_number() OVER (ORDER BY k, h, doc_id) AS n
+  FROM d),
+p AS (SELECT *, CASE WHEN grp <= 0.002 * total / 8 THEN min(before) OVER (PARTITION BY k) + grp / 2 ELSE before + size / 2 END AS place FROM o),
+s AS (SELECT *, CAST(least(7, floor(place * 8 / total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(regexp_replace(hex(encode(body)), '(..)', '\\1,', 'g'), ',')[:-2], lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32,
+  'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY n) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s, tab
+"""
