@@ -48,6 +48,16 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left")
     return df.join(F.broadcast(table) if small else table, on, how).drop(*(f"_r_{c}" for c in keys))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that columns of our own can't clash with them; row_back undoes it."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+
+
+def row_back(columns: list[str], **fresh: Column) -> list[Column]:
+    """The columns of whole_row, some of them replaced."""
+    return [(fresh[c] if c in fresh else F.col("_row").getField(c)).alias(c) for c in columns]
+
+
 def crc32_of(column: str) -> Column:
     """CRC-32 of the value as text; of the empty string if null."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
@@ -55,8 +65,3 @@ def crc32_of(column: str) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def code_point_order(column: str) -> Column:
-    """A key that sorts strings by code point, nulls last (UTF-8 keeps the order of code points)."""
-    return F.col(column).asc_nulls_last()

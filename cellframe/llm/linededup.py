@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, documents, lookup, written
+from .common import BROADCAST_ROWS, WORD, documents, lookup, row_back, whole_row, written
 
 MIN_WORDS = 50
 #: A run within a document is looked up by id and text hash.
@@ -103,15 +103,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     """docs with repeated runs of lines taken out of the text; with counts, also n_lines and n_deleted."""
     runs = repeated(docs, text, doc_id, min_words).groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs"))
     runs = written(runs, "line-runs")
-    rows = lookup(docs.select(F.struct(*docs.columns).alias("_d"), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th")), runs, ["_id", "_th"])
-    body = F.col("_d").getField(text)
+    rows = lookup(docs.select(whole_row(docs), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th")), runs, ["_id", "_th"])
+    body = F.col("_row").getField(text)
     parts = F.split(body, "\n")
     # what lies between deleted runs: from the end of each to the start of the next
     ends = F.concat(F.array(F.lit(-1)), F.transform("_runs", lambda r: r["last"]))
     starts = F.concat(F.transform("_runs", lambda r: r["first"]), F.array(F.size(parts)))
     kept = F.flatten(F.zip_with(ends, starts, lambda e, s: F.slice(parts, e + 2, s - e - 1)))
     fresh = F.when(F.col("_runs").isNull(), body).otherwise(F.array_join(kept, "\n"))
-    out = [F.when(F.lit(c == text), fresh).otherwise(F.col("_d").getField(c)).alias(c) if c == text else F.col("_d").getField(c).alias(c) for c in docs.columns]
+    out = row_back(docs.columns, **{text: fresh})
     if counts:
         n = F.when(F.length(body) > 0, F.size(parts)).otherwise(0)
         gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0))

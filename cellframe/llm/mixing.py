@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, lookup, written
+from .common import WORD, documents, lookup, row_back, whole_row, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -112,14 +112,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """docs with every row as often as the mix takes it. Repeated rows stay as often as they were, times their copies."""
     taken = mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.max("copies").alias("_copies"))
-    out = docs.withColumn("_h", F.xxhash64(options.get("text", "text")))
-    out = out.join(taken, F.col(options.get("doc_id", "doc_id")).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*(docs[c] for c in docs.columns))
+    out = docs.select(whole_row(docs), F.col(options.get("doc_id", "doc_id")).alias("_i"), F.xxhash64(options.get("text", "text")).alias("_h"))
+    out = out.join(taken, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*row_back(docs.columns))
 
 
 def op3_mixing(spark, sf_dir):
-    from .common import documents
-
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from .forest import op10_nearest
-from .hnsw import op9_embedding_dedup
+from .hnsw import OP9_SQL, op9_embedding_dedup
 from .langid import op2_langid
-from .linededup import op5_line_dedup
-from .mixing import op3_mixing
+from .linededup import OP5_SQL, op5_line_dedup
+from .mixing import OP3_SQL, op3_mixing
 from .packing import op4_packing
 from .quality import op8_quality
-from .sharding import op6_sharding
+from .sharding import OP6_SQL, op6_sharding
 from .simhash import op7_simhash
 from .token_counts import op1_token_counts
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_nearest": op10_nearest,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_sharding": OP6_SQL, "op9_embedding_dedup": OP9_SQL}

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, row_back, whole_row, written
 from .components import components
 
 SEED = 42
@@ -188,12 +188,12 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # how many rows repeat the id and text of the one that stays
     ids = best.select(F.col("_best.doc_id").alias("_id"), F.col("_best.text_hash").alias("_th")).distinct()
     ids = written(ids, "simhash-kept")
-    rows = docs.withColumn("_id", F.col(doc_id).cast("long")).withColumn("_th", F.xxhash64(text))
+    rows = docs.select(whole_row(docs), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_th"))
     kept = rows.join(ids.select(F.col("_id").alias("_i"), F.col("_th").alias("_t")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left_semi")
     repeats = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not repeats.isEmpty():
         kept = kept.dropDuplicates(["_id", "_th"])
-    return kept.select(*docs.columns)
+    return kept.select(*row_back(docs.columns))
 
 
 def op7_simhash(spark, sf_dir):
