@@ -9,19 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.llm import linededup, mixing, packing, quality, simhash
-from cellframe.llm.common import crc32_of, documents, written
+from cellframe.llm.common import crc32_of, documents, row_back, whole_row, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from labelled rows of docs that are not held out."""
     weights = quality.fit(docs.filter(crc32_of("doc_id") % 4 != 2), documents(spark, sf_dir, "labels"))
-    return quality.score(docs, weights).filter(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    scored = quality.score(docs.select(whole_row(docs), "text"), weights)
+    return scored.filter(F.col("score") >= quality.THRESHOLD).select(*row_back(docs.columns))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out; n_chars follows the text. A document of which nothing is left goes."""
-    out = linededup.dedup_lines(docs, counts=True).withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.filter((F.col("n_deleted") == 0) | (F.trim("text") != "")).select(*docs.columns)
+    out = linededup.dedup_lines(docs.select(whole_row(docs), "doc_id", "text"), counts=True)
+    changed = F.col("n_deleted") > 0
+    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))
+    return out.filter(~changed | (F.trim("text") != "")).select(*row_back(docs.columns, text=F.col("text"), n_chars=n_chars))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
