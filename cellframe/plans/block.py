@@ -170,6 +170,11 @@ def construct_multiple(graph: dict, names: list[str]) -> list[Block]:
     return [make(n) for n in names]
 
 
+def compute(graph: dict, name: str) -> list:
+    """The rows of one entry of a compute graph; Spark runs what it stands on."""
+    return graph[name].collect()
+
+
 #: Settings and their defaults; read from the session as cellframe.<name>.
 CONFIG = {"root": "/", "strict-file-paths": "false", "raster-limit": str(12 * 1024**2), "raster-limit-timesteps": "65536", "geometry-limit": "10000"}
 

@@ -178,6 +178,14 @@ class RasterBlock(Block):
             return spark.createDataFrame([], f"t timestamp_ntz, i int, j int, v {spark_type(self.dtype)}")
         return Context(spark).cells(self, Request(grid, start, stop)).table()
 
+    def get_compute_graph(self, spark: SparkSession, bbox=None, width=None, height=None, projection=None, start=None, stop=None) -> tuple[dict[str, DataFrame], str]:
+        """Every planned block of the view by name, each a lazy table of cells, and this one's name. Equal (block, request) pairs are one entry."""
+        grid = self.grid if bbox is None else Grid.from_bbox(bbox, width or 1, height or 1, projection or self.projection)
+        ctx = Context(spark)
+        ctx.cells(self, Request(grid, start, stop))
+        names = {key: f"{key[0]}_{k}" for k, key in enumerate(ctx.memo)}
+        return {names[key]: cells.table() for key, cells in ctx.memo.items()}, names[self.token, Request(grid, start, stop)]
+
     def to_file(self, spark: SparkSession, url: str, **request):
         from ..sources.sinks import write_raster
 

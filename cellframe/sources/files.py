@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs as crs_
 from ..functions import geometry as geo
+from ..plans.block import setting
 
 
 def safe_path(url: str, root: str = "/", strict: bool = False) -> str:
@@ -36,6 +37,14 @@ def safe_path(url: str, root: str = "/", strict: bool = False) -> str:
     return path
 
 
+def allowed(url: str) -> str:
+    """The URL itself; with cellframe.strict-file-paths, one outside of cellframe.root is an IOError."""
+    spark = _session()
+    if setting(spark, "strict-file-paths").lower() == "true":
+        safe_path(url, setting(spark, "root"), strict=True)
+    return url
+
+
 def _session() -> SparkSession:
     found = SparkSession.getActiveSession()
     if found is None:
@@ -65,7 +74,7 @@ class RasterHeader:
 
 
 def raster_header(url: str) -> RasterHeader:
-    return decode_raster(_bytes(url), url)[0]
+    return decode_raster(_bytes(allowed(url)), url)[0]
 
 
 def decode_raster(data: bytes, url: str) -> tuple[RasterHeader, np.ndarray]:
@@ -193,7 +202,7 @@ RESERVED = {"fid", "geom", "_ord"}
 def feature_schema(url: str, layer: str | None) -> tuple[list[tuple[str, str]], str]:
     """Property names and Spark types, and the projection."""
     spark = _session()
-    kind = _kind(url)
+    kind = _kind(allowed(url))
     if kind == "parquet":
         df = spark.read.parquet(f"{url}/features")
         return [(c, t) for c, t in df.dtypes if c not in RESERVED], read_manifest(url)["crs"]

@@ -162,4 +162,51 @@ def _tiles(df: DataFrame, grid: Grid, dtype: str, h: int, w: int) -> DataFrame:
     return df.groupBy("ty", "tx").applyInPandas(run, "ty int, tx int, tif binary")
 
 
-__all__ = ["GeometryFileSink", "scratch", "write_features", "write_raster", "to_ms"]
+def merge_features(spark, path: str, target: str, remove_source: bool = False) -> None:
+    """GeoJSON lines of a folder as one GeoJSON file on the driver's disk, streamed feature by feature. An existing target is an IOError."""
+    import os
+    import shutil
+
+    if os.path.exists(target):
+        raise IOError(f"{target} exists")
+    with open(target, "w", encoding="utf-8") as f:
+        f.write('{"type": "FeatureCollection", "features": [')
+        for k, r in enumerate(spark.read.text(path).toLocalIterator()):
+            f.write(("," if k else "") + "\n" + r["value"])
+        f.write("\n]}")
+    if remove_source:
+        shutil.rmtree(path)
+
+
+def merge_tiles(spark, path: str, target: str) -> None:
+    """GeoTIFF tiles of write_raster as files in a folder on the driver's disk, tile by tile, with a VRT index over them."""
+    import os
+
+    from .files import decode_raster
+
+    if os.path.exists(target):
+        raise IOError(f"{target} exists")
+    os.makedirs(target)
+    found = []
+    for r in spark.read.parquet(path).toLocalIterator():
+        name = f"{r['ty']}_{r['tx']}.tif"
+        with open(f"{target}/{name}", "wb") as f:
+            f.write(r["tif"])
+        found.append((name, decode_raster(bytes(r["tif"]), name)[0]))
+    if not found:
+        return
+    x0, y0, dx, dy = min(h.x0 for _, h in found), max(h.y0 for _, h in found), found[0][1].dx, found[0][1].dy
+    width = round((max(h.x0 + h.width * dx for _, h in found) - x0) / dx)
+    height = round((y0 - min(h.y0 - h.height * dy for _, h in found)) / dy)
+    parts = "".join(
+        f'<SimpleSource><SourceFilename relativeToVRT="1">{n}</SourceFilename><SourceBand>1</SourceBand><SrcRect xOff="0" yOff="0" xSize="{h.width}" ySize="{h.height}"/>'
+        f'<DstRect xOff="{round((h.x0 - x0) / dx)}" yOff="{round((y0 - h.y0) / dy)}" xSize="{h.width}" ySize="{h.height}"/></SimpleSource>'
+        for n, h in found
+    )
+    head = found[0][1]
+    none = "" if head.none is None else f"<NoDataValue>{head.none}</NoDataValue>"
+    with open(f"{target}/index.vrt", "w", encoding="utf-8") as f:
+        f.write(f'<VRTDataset rasterXSize="{width}" rasterYSize="{height}"><SRS>{head.crs}</SRS><GeoTransform>{x0}, {dx}, 0, {y0}, 0, {-dy}</GeoTransform><VRTRasterBand dataType="{head.dtype}" band="1">{none}{parts}</VRTRasterBand></VRTDataset>')
+
+
+__all__ = ["merge_features", "merge_tiles", "GeometryFileSink", "scratch", "write_features", "write_raster", "to_ms"]

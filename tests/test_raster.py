@@ -274,6 +274,14 @@ def test_views(source):
     assert DummyBlock("x").token != DummyBlock("y").token
 
 
+def test_compute_graph(spark, source):
+    from cellframe.plans.block import compute
+
+    view = (source + 2) * (source + 2)
+    graph, name = view.get_compute_graph(spark, start=T0)
+    assert len(graph) == 3 and {r["v"] for r in compute(graph, name)} == {9}
+
+
 def test_same_source_never_joins(spark, source):
     view = (source + 2) * (source > 3).rasters[0] - source
     plan = view.get_data(spark, start=T0, stop=T0 + DAY)._jdf.queryExecution().executedPlan().toString()
