@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space between words: the six ASCII characters. It is also what bytes.split() splits at.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A lookup table is broadcast up to this many rows; beyond, it is joined by shuffling.
-BROADCAST_ROWS = 50_000
+#: A table is broadcast up to this many rows (of bounded width; where rows hold lists, up to so many items); beyond, it is joined by shuffling.
+BROADCAST_ROWS = 20_000
 
 _local: dict[str, str] = {}
 
@@ -37,9 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """df joined to a written table that has one row for each key (null keys meet). Broadcast if its row count is proven small, else dealt by the keys; adaptive execution splits keys that are skewed."""
-    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def is_small(table: DataFrame, items: Column | None = None) -> bool:
+    """Does a written table have BROADCAST_ROWS rows, and items in them, at most? Reads no more rows than that."""
+    n, total = table.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.lit(1) if items is None else items)).first()
+    return n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_ROWS
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left", items: Column | None = None) -> DataFrame:
+    """df joined to a written table that has one row for each key (null keys meet). Broadcast if it is proven small, else dealt by the keys; adaptive execution splits keys that are skewed."""
+    small = is_small(table, items)
     table = table.select(*(F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in table.columns))
     on = None
     for c in keys:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, documents, lookup, row_back, whole_row, written
+from .common import WORD, documents, is_small, lookup, row_back, whole_row, written
 
 MIN_WORDS = 50
 #: A run within a document is looked up by id and text hash.
@@ -88,7 +88,7 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_wo
     first = first.select(F.col("window").alias("_w"), F.col("n").alias("_wn"), F.col("time").alias("_wt"), "_first", F.col("_from.after").alias("_after"), F.col("_from.before").alias("_before"))
     # written, so that the join's two sides are plain exchanges and a window that is everywhere can be split
     first = written(first, "first-windows")
-    small = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = is_small(first, F.size("_after") + F.size("_before"))
     later = found.join(F.broadcast(first) if small else first, (F.col("window") == F.col("_w")) & (F.col("n") == F.col("_wn")) & (F.col("time") == F.col("_wt"))).filter(place != F.col("_first"))
     down, up = _shared(F.col("after"), F.col("_after")), _shared(F.col("before"), F.col("_before"))
     later = later.select("_id", "_th", F.when(up > 0, F.element_at("before", up)["pos"]).otherwise(F.col("pos")).alias("first"), F.when(down > 0, F.element_at("after", down)["pos"]).otherwise(F.col("last")).alias("last"))
@@ -103,7 +103,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     """docs with repeated runs of lines taken out of the text; with counts, also n_lines and n_deleted."""
     runs = repeated(docs, text, doc_id, min_words).groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs"))
     runs = written(runs, "line-runs")
-    rows = lookup(docs.select(whole_row(docs), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th")), runs, ["_id", "_th"])
+    rows = lookup(docs.select(whole_row(docs), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th")), runs, ["_id", "_th"], items=F.size("_runs"))
     body = F.col("_row").getField(text)
     parts = F.split(body, "\n")
     # what lies between deleted runs: from the end of each to the start of the next
