@@ -341,8 +341,24 @@ def _array(spark, sf_dir):
 
 
 table_query("zonal_temporal_array", _array, f"SELECT fid, string_agg(coalesce(CAST(CAST(round(v, -1) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY t) AS agg FROM (SELECT fid, axis.t, CAST(CAST(max(v) AS FLOAT) AS DOUBLE) AS v FROM zones CROSS JOIN axis LEFT JOIN b ON b.t = axis.t AND {INSIDE} WHERE axis.t <= TIMESTAMP '2024-01-03' GROUP BY fid, axis.t) x GROUP BY fid")
-# boxes reach from 0 to 10, so 30 cells at most make cells of side 2; a coarse cell has the value at its centre, and counts four times
-table_query("zonal_autoscale", _zonal(lambda s, d: zonal.AggregateRaster(zones(s, d), ras_a(s, d) * 0 + 1, "count", max_pixels=30, auto_pixel_size=True)), None)
+# larger cells than asked for have the value at their centre, and count for what they cover
+COARSE = """, z AS (SELECT min(x0) AS ax, min(y0) AS ay, max(x1) AS bx, max(y1) AS cy FROM zones),
+s AS (SELECT *, CASE WHEN floor((bx - ax) * (cy - ay)) > 30 THEN ceil(sqrt(floor((bx - ax) * (cy - ay)) / 30.0)) ELSE 1.0 END::DOUBLE AS s FROM z),
+w AS (SELECT s, floor(ax / s) * s AS gx, ceil(cy / s) * s AS gy, ceil(bx / s) * s AS hx, floor(ay / s) * s AS hy FROM s),
+c AS (SELECT ci, cj, gx + (cj + 0.5) * s AS mx, gy - (ci + 0.5) * s AS my, s FROM w, range(20) y(ci), range(20) x(cj) WHERE gx + (cj + 0.5) * s < hx AND gy - (ci + 0.5) * s > hy),
+n AS (SELECT fid, ci, cj FROM zones JOIN c ON mx >= x0 AND mx < x1 AND my >= y0 AND my < y1),
+m AS (SELECT * FROM n UNION ALL SELECT fid, CAST(floor((gy - (y0 + y1) / 2) / s) AS BIGINT), CAST(floor(((x0 + x1) / 2 - gx) / s) AS BIGINT) FROM zones, w WHERE fid NOT IN (SELECT fid FROM n))
+SELECT zones.fid, CAST(coalesce(count(a.v) * any_value(w.s * w.s), 0) AS DOUBLE) AS agg FROM zones CROSS JOIN w LEFT JOIN m ON m.fid = zones.fid LEFT JOIN c ON c.ci = m.ci AND c.cj = m.cj
+LEFT JOIN a ON a.t = TIMESTAMP '2024-01-10' AND a.i = floor(10 - c.my) AND a.j = floor(c.mx) GROUP BY zones.fid"""
+
+
+def _autoscale(spark, sf_dir):
+    df = zonal.AggregateRaster(zones(spark, sf_dir), ras_a(spark, sf_dir), "count", max_pixels=30, auto_pixel_size=True).get_data(spark, start=AT)
+    return df.select("fid", F.col("agg").cast("double").alias("agg"))
+
+
+QUERIES["zonal_autoscale"] = _autoscale
+SQL["zonal_autoscale"] = f"WITH {VIEWS} {COARSE}"
 
 # --- feature tables ---
 

@@ -42,12 +42,3 @@ def test_same_rows(spark, duck, name):
     sql = f"select {quoted} from ({registry.SQL[name]})"
     assert columns == sorted(duck.sql(registry.SQL[name]).columns)
     assert rows(df.select(*columns).collect()) == rows(duck.sql(sql).fetchall())
-
-
-def test_autoscaled_counts(spark):
-    """Without SQL: coarse cells of side 2 over boxes from 0 to 10, each counting four."""
-    from cellframe.operators import zonal
-
-    got = {r["fid"]: r["agg"] for r in registry.QUERIES["zonal_autoscale"](spark, DATA).collect()}
-    assert all(v % 4 == 0 or v == round(v, -1) for v in got.values())
-    assert zonal.zonal_grid((0, 0, 10, 10), 1, "EPSG:3857", 30, True)[1] == 2
