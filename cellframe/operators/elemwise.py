@@ -54,6 +54,11 @@ class BaseElementwise(RasterBlock):
         return Cells(joined[0].df, self.of(*values), joined[0].times, joined[0].source)
 
 
+def _scalar(x):
+    """Numbers of numpy, and arrays with one, as plain numbers."""
+    return x.item() if hasattr(x, "item") and getattr(x, "size", 0) == 1 else x
+
+
 def _number(x) -> None:
     if isinstance(x, bool) or not isinstance(x, (int, float, RasterBlock)):
         raise TypeError(f"a raster or number is needed, not {type(x).__name__}")
@@ -63,6 +68,7 @@ class BaseMath(BaseElementwise):
     least_float = False
 
     def __init__(self, a, b):
+        a, b = _scalar(a), _scalar(b)
         _number(a), _number(b)
         super().__init__(a, b)
 
@@ -126,6 +132,7 @@ class BaseComparison(BaseElementwise):
     otherwise = False
 
     def __init__(self, a, b):
+        a, b = _scalar(a), _scalar(b)
         _number(a), _number(b)
         super().__init__(a, b)
 

@@ -47,7 +47,7 @@ def _exported(df: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 
 class GeometryFileSink:
-    """Features to files: a folder of Parquet (no extension), GeoJSON lines (.geojsonl), or one GeoJSON (.geojson), GeoPackage (.gpkg) or WKT table (.csv)."""
+    """Features to files: a folder of Parquet (no extension), GeoJSON lines (.geojsonl), a WKT table (.csv), one GeoJSON collection (.geojson), or one file on the driver's disk (.gpkg, .shp, .gml)."""
 
     def __init__(self, source: GeometryBlock, url: str, fields: dict | None = None):
         if not isinstance(source, GeometryBlock):
@@ -76,8 +76,10 @@ class GeometryFileSink:
             # one document: its lines are gathered in a single task that streams them
             body = _features_json(df).select(F.concat(F.lit(""), F.col("value")).alias("value"))
             _one_collection(body).write.text(url)
-        elif url.endswith(".gpkg"):
-            raise NotImplementedError("GeoPackage is read, not written; write .geojson, .geojsonl, .csv or a folder of Parquet")
+        elif url.endswith((".gpkg", ".shp", ".gml")):
+            from .single import write_single
+
+            write_single(df, url, crs)
         elif "." in url.rsplit("/", 1)[-1]:
             raise ValueError(f"unknown extension of {url}")
         else:

@@ -162,6 +162,26 @@ def test_raster_sinks(spark, tmp_path):
         source.to_file(spark, f"{tmp_path}/u.tif", start=T0, stop=T0 + timedelta(hours=1))
 
 
+@pytest.mark.parametrize("kind", ["gpkg", "shp"])
+def test_single_files(spark, features, tmp_path, kind):
+    url = f"{tmp_path}/a.{kind}"
+    features.to_file(spark, url, fields=["n", "s", "lst", "d"])
+    source = GeometryFileSource(url)
+    assert source.columns == {"n", "s", "lst", "d"}
+    got = source.get_data(spark).select("n", "s", "lst", "d", geo.area(F.col("geom")))
+    assert listed(got) == [(1, "a", "[1,2]", None, 4), (2, None, "[]", 2.5, 4)]
+    with pytest.raises(IOError):
+        features.to_file(spark, url)
+
+
+def test_gml(spark, features, tmp_path):
+    from xml.etree import ElementTree
+
+    features.to_file(spark, f"{tmp_path}/a.gml", fields=["n"])
+    root = ElementTree.parse(f"{tmp_path}/a.gml").getroot()
+    assert len(root.findall(".//{http://www.opengis.net/gml/3.2}Polygon")) == 2 and sorted(e.text for e in root.findall(".//{urn:cellframe}n")) == ["1", "2"]
+
+
 def test_merged_files(spark, features, tmp_path):
     features.to_file(spark, f"{tmp_path}/lines.geojsonl")
     sinks.merge_features(spark, f"{tmp_path}/lines.geojsonl", f"{tmp_path}/one.geojson", remove_source=True)

@@ -93,6 +93,7 @@ def test_math(spark):
     assert only(spark, a * 2) == [[2, 4, None]] and only(spark, -a) == [[-1, -2, None]]
     assert only(spark, a / b) == [[0.25, None, None]]
     assert only(spark, a**2) == [[1, 4, None]] and only(spark, a**-1) == [[1.0, 0.5, None]]
+    assert only(spark, a + np.int16(2)) == [[3, 4, None]] and only(spark, a * np.array([2])) == [[2, 4, None]]
     assert (a + b).dtype == "int32" and (a / b).dtype == "float64"
     with pytest.raises(TypeError):
         a + "x"
