@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,16 @@ def row_back(columns: list[str], **fresh: Column) -> list[Column]:
     return [(fresh[c] if c in fresh else F.col("_row").getField(c)).alias(c) for c in columns]
 
 
+def id_columns(column: str) -> list[Column]:
+    """A whole-number id for Python workers, as doc_id and _no_id: numbers with nulls among them would arrive as floats."""
+    c = F.col(column).cast("long")
+    return [F.coalesce(c, F.lit(0)).alias("doc_id"), c.isNull().alias("_no_id")]
+
+
+def ids_back(ids, missing) -> pd.arrays.IntegerArray:
+    return pd.arrays.IntegerArray(np.array(ids, dtype=np.int64), np.array(missing, dtype=bool))
+
+
 def crc32_of(column: str) -> Column:
     """CRC-32 of the value as text; of the empty string if null."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

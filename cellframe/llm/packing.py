@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, lookup, written
+from .common import documents, id_columns, ids_back, lookup, written
 from .tokenizer import vocabulary, word_bpe
 
 LENGTH = 2048
@@ -196,17 +196,17 @@ def _pieces(vocab: str, limit: int, with_ids: bool):
         task = TaskContext.get().partitionId()
         seen = np.zeros(limit + 1, dtype=np.int64)
         for b in batches:
-            doc, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
-            for d, text in zip(b["doc_id"].tolist(), b["text"]):
+            doc, none, piece, start, length, crc, rank, ids = [], [], [], [], [], [], [], []
+            for d, missing, text in zip(b["doc_id"].tolist(), b["_no_id"].tolist(), b["text"]):
                 all_ids = np.append(bpe.encode(text), np.uint32(END)).astype("<u4")
                 for k, at in enumerate(range(0, len(all_ids), limit)):
                     part = all_ids[at : at + limit]
-                    doc.append(d), piece.append(k), start.append(at), length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
+                    doc.append(d), none.append(missing), piece.append(k), start.append(at), length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
                     rank.append(int(seen[len(part)]))
                     seen[len(part)] += 1
                     if with_ids:
                         ids.append(part.astype(np.int32))
-            out = {"doc_id": pd.array(doc, dtype="Int64"), "piece": piece, "start": start, "length": length, "ids_crc32": crc, "_task": task, "_rank": rank}
+            out = {"doc_id": ids_back(doc, none), "piece": piece, "start": start, "length": length, "ids_crc32": crc, "_task": task, "_rank": rank}
             if with_ids:
                 out["ids"] = ids
             yield pd.DataFrame(out)
@@ -221,6 +221,7 @@ def _place(table: dict[str, np.ndarray], width: int):
         for b in batches:
             number = b["_number"].to_numpy(np.int64)
             at = np.searchsorted(keys, b["length"].to_numpy(np.int64) * width + number, side="right") - 1
+            b["doc_id"] = ids_back(b["doc_id"], b.pop("_no_id"))
             yield b.assign(sequence_id=table["sequence"][at] + number - table["first"][at], offset=table["offset"][at])
 
     return run
@@ -230,7 +231,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for."""
     vocab = vocab or vocabulary("word_bpe_49k.json")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _task long, _rank long" + ", ids array<int>" * with_ids
-    rows = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(_pieces(vocab, limit, with_ids), schema), "pieces")
+    rows = written(docs.select(*id_columns(doc_id), F.col(text).alias("text")).mapInPandas(_pieces(vocab, limit, with_ids), schema), "pieces")
     by_task = rows.groupBy("length", "_task").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     by_task = written(by_task.select("length", "_task", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "pieces-before")
@@ -241,6 +242,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int
     plan = slots(fit(counts, limit))
     table = {c: plan[c].to_numpy(np.int64) for c in plan.columns}
     numbered = lookup(rows, by_task.drop("_n"), ["length", "_task"]).withColumn("_number", F.col("_before") + F.col("_rank")).drop("_before", "_task", "_rank")
+    numbered = numbered.select(*id_columns("doc_id"), *(c for c in numbered.columns if c != "doc_id"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "_number long, sequence_id long, offset long"
     return numbered.mapInPandas(_place(table, int(counts.max()) + 1), schema).drop("_number")
 

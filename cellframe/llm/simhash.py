@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, row_back, whole_row, written
+from .common import documents, id_columns, ids_back, row_back, whole_row, written
 from .components import components
 
 SEED = 42
@@ -132,7 +132,7 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             f = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_hash": b["text_hash"], "fp": f.view(np.int64)})
+            yield pd.DataFrame({"doc_id": ids_back(b["doc_id"], b["_no_id"]), "text_hash": b["text_hash"], "fp": f.view(np.int64)})
 
     return run
 
@@ -171,7 +171,7 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, text_hash, fp (the fingerprint as a signed long), component (a fingerprint), component_id."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInPandas(_fingerprints(shingle), "doc_id long, text_hash long, fp long")
+    rows = docs.select(*id_columns(doc_id), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInPandas(_fingerprints(shingle), "doc_id long, text_hash long, fp long")
     rows = written(rows, "simhash")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
     of = components(links(nodes.select("fp")))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, id_columns, ids_back
 from .tokenizer import byte_bpe, vocabulary
 
 SEPARATOR = "\n"
@@ -83,10 +83,10 @@ def token_counts(docs: DataFrame, fields: Sequence[str] = ("text",), doc_id: str
             texts = [b[f"f{k}"] for k in range(len(names))]
             # a batch's sections are handed on in bounded pieces, as a text may have very many
             ids, found, held = [], [], 0
-            for d, *parts in zip(b["doc_id"].tolist(), *texts):
+            for d, missing, *parts in zip(b["doc_id"].tolist(), b["_no_id"].tolist(), *texts):
                 found.append(attribute(parts, bpe.encode, bpe.lengths, separator, rule))
-                ids.append((d, len(found[-1][0])))
-                held += ids[-1][1]
+                ids.append((d, missing, len(found[-1][0])))
+                held += ids[-1][2]
                 if held > 100_000:
                     yield frame(ids, found)
                     ids, found, held = [], [], 0
@@ -95,10 +95,10 @@ def token_counts(docs: DataFrame, fields: Sequence[str] = ("text",), doc_id: str
 
     def frame(ids, found):
         field, section, start, end, tokens, crossing = (np.concatenate(c) for c in zip(*found))
-        doc = pd.array([d for d, _ in ids], dtype="Int64").repeat([n for _, n in ids])
+        doc = ids_back([d for d, _, _ in ids], [m for _, m, _ in ids]).repeat([n for _, _, n in ids])
         return pd.DataFrame({"doc_id": doc, "field": names[field], "section": section.astype(np.int32), "start": start, "end": end, "tokens": tokens, "crossing": crossing})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *(F.col(c).alias(f"f{k}") for k, c in enumerate(fields)))
+    rows = docs.select(*id_columns(doc_id), *(F.col(c).alias(f"f{k}") for k, c in enumerate(fields)))
     return rows.mapInPandas(run, "doc_id long, field string, section int, start long, end long, tokens long, crossing long")
 
 

@@ -293,6 +293,16 @@ def test_links_in_hot_buckets(spark):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(expected.values()))
 
 
+def test_large_ids_beside_nulls(spark):
+    """Ids over 2**53 are exact even where others are null."""
+    from cellframe.llm import packing, token_counts
+
+    ids = [2**53 + 1, None, -(2**62) - 1]
+    df = spark.createDataFrame([(d, f"text {k}") for k, d in enumerate(ids)], "doc_id long, text string")
+    for out in (simhash.near_duplicates(df), packing.pack(df), token_counts.token_counts(df)):
+        assert sorted([r["doc_id"] for r in out.collect()], key=repr) == sorted(ids, key=repr)
+
+
 def test_near_duplicates_odd(spark, odd, none):
     got = simhash.near_duplicates(odd).collect()
     texts = [(r["doc_id"], r["text"]) for r in odd.collect()]
