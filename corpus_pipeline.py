@@ -1,6 +1,8 @@
 """A corpus pipeline of five operators: quality, line dedup, near-dedup, mixing, packing.
 
-Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of documents, whatever others there
+are. Nulls, empty and very long texts, repeated rows and empty tables have the results that the operators define; null and empty texts are scored by the
+classifier's bias, and are near-duplicates of each other.
 """
 
 from __future__ import annotations
