@@ -439,7 +439,6 @@ def _written_features(spark, sf_dir):
 
     url = scratch(spark, "features")
     zones(spark, sf_dir).to_file(spark, url, fields={"name": "s_name", "balance": "s_acctbal", "id": "fid"})
-    spark.conf.set("cellframe.geometry-limit", "1000000")
     return GeometryFileSource(url, None, "id").get_data(spark).select("fid", "name", "balance", F.round(geo.area(F.col("geom")), 4).alias("area"))
 
 
