@@ -97,8 +97,19 @@ class ByteBPE:
             self.lengths[rank] = len(piece)
         self.fast = tiktoken.Encoding("bytes", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    #: Runs of white space beyond this length are too deep for the pattern's look-ahead.
+    LONG = 10_000
+    _long = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
+
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.fast.encode_ordinary(text), dtype=np.int64)
+        parts, at = [], 0
+        for m in self._long.finditer(text):
+            # the pattern takes a run whole at the end of a text, and else leaves its last sign to what follows
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            parts += [self.fast.encode_ordinary(text[at : m.start()]), self.fast._encode_single_piece(text[m.start() : end])]
+            at = end
+        parts.append(self.fast.encode_ordinary(text[at:]))
+        return np.array(parts[0] if len(parts) == 1 else [i for p in parts for i in p], dtype=np.int64)
 
 
 @lru_cache(4)

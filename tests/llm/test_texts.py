@@ -76,6 +76,23 @@ def test_attribution_is_brute_force(rule):
             assert (count == tokens).all()
 
 
+def test_extreme_texts(bpe, monkeypatch):
+    from cellframe.llm.tokenizer import ByteBPE
+
+    b = ByteBPE(vocabulary("byte_bpe_50k.tiktoken"))
+    texts = ["a" + " " * n + t for n in (11, 12, 40) for t in ("", "b", "\n", "\u00a0x", "!")] + ["\n \t" * 9 + "x", " " * 30]
+    plain = [b.fast.encode_ordinary(t) for t in texts]
+    import re
+
+    monkeypatch.setattr(ByteBPE, "_long", re.compile(ByteBPE._long.pattern.replace("10000", "12")))
+    assert [b.encode(t).tolist() for t in texts] == plain
+    monkeypatch.undo()
+    for t in (" " * 1_500_000 + "x", "a" * 500_000, "\n" * 200_000, "\u6f22" * 100_000):
+        ids = b.encode(t)
+        assert b.lengths[ids].sum() == len(t.encode())
+        bpe.encode(t)
+
+
 def test_crossing_tokens_go_by_the_rule():
     lengths = np.array([4, 3])
     out = lambda rule: token_counts.attribute(["a\nbcdef"], lambda t: np.array([0, 1]), lengths, "\n", rule)[4].tolist()
