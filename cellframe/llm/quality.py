@@ -31,6 +31,8 @@ SAMPLE = 16_384
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.1, 0.1
 THRESHOLD = 0.7
+#: Words whose hash a Python process remembers.
+KNOWN = 100_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\n|(?:[^\w\s]|_)+")
 _known: dict[str, int] = {}
@@ -38,7 +40,7 @@ _known: dict[str, int] = {}
 
 def _hash(token: str) -> int:
     h = zlib.crc32(token.encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-    if len(_known) > 500_000:
+    if len(_known) >= KNOWN:
         _known.clear()
     _known[token] = h
     return h
@@ -78,7 +80,8 @@ def _hash_as(word: str) -> int:
     """The hash of its lower case, remembered for the word as it stands."""
     h = _known.get(word.lower())
     h = _hash(word.lower()) if h is None else h
-    _known[word] = h
+    if len(_known) < KNOWN:
+        _known[word] = h
     return h
 
 
@@ -119,14 +122,22 @@ def _features_of(buckets):
 
 def _train_all(buckets):
     def run(batches: Iterator[pd.DataFrame]):
-        parts = [*batches]
-        p = pd.concat(parts) if parts else pd.DataFrame()
+        # the sample as three flat arrays: one copy of it, without an object for each row
+        at, v, sizes, y, order = [], [], [], [], []
+        for b in batches:
+            at.append(np.concatenate([*b["at"], np.zeros(0)]).astype(np.int32))
+            v.append(np.concatenate([*b["v"], np.zeros(0)]).astype(np.float32))
+            sizes += map(len, b["at"])
+            y.append(b["label"].to_numpy(float))
+            order.append(b["_order"].to_numpy(np.int64))
         w = np.zeros(buckets + 1)
-        if len(p):
-            p = p.sort_values("_order")
-            y = p["label"].to_numpy(float)
+        if sizes:
+            at, v, y, order = map(np.concatenate, (at, v, y, order))
+            ends = np.cumsum(sizes)
+            rows = [(at[e - n : e], v[e - n : e]) for e, n in zip(ends.tolist(), sizes)]
+            first = np.argsort(order, kind="stable")
             if 0 < y.mean() < 1:
-                w = train([*zip(p["at"], p["v"])], y, buckets)
+                w = train([rows[k] for k in first], y[first], buckets)
             else:
                 w[buckets] = 35.0 if y[0] else -35.0
         yield pd.DataFrame({"w": [w.astype(np.float32).tobytes()]})
