@@ -7,8 +7,9 @@ fingerprints are few, and a run that two places share has the same windows and s
 1. Fingerprints that occur at one place only are put aside, with all their windows: what they stand for is nowhere else.
 2. The other windows are joined, by all line hashes in them, to the first place (smallest id, then line) that has the same window; the k-th of a
    kind in a document also to the first place that is a k-th.
-3. The match is extended both ways, line by line while they agree, by lines that lie within MIN_WORDS words of it. (A repeated run that goes on for
-   longer has another window there, which is deleted on its own account.)
+3. The match is extended both ways, line by line while they agree. Backward that needs no look at the lines: one that agrees before a match begins a
+   window that agrees as well, which is a match of its own. Forward, lines that lie within MIN_WORDS words of the match are compared. (A repeated run that
+   goes on for longer has another window there.)
 4. Later copies are deleted, the first is kept.
 
 Each occurrence is joined to the first one only, never to all others, so a line that is everywhere costs one row each time.
@@ -42,17 +43,12 @@ def lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def windows(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows with `window` (hash of its line hashes), `last` (its last line), `minimum`, `chosen` (a new fingerprint), and the lines after and before."""
+    """Rows with `window` (hash of its line hashes), `last` (its last line), `minimum`, `chosen` (a new fingerprint), and the lines after it, as hashes and places."""
     doc, ends = Window.partitionBy(*KEYS).orderBy("from_word"), Window.partitionBy(*KEYS).orderBy("to_word")
     window = doc.rangeBetween(0, min_words - 1)
-    line = F.struct("hash", "pos")
-    # the lines that begin within min_words words after this one's end, and those that end within as many before its start
-    rows = rows.withColumn("to_word", F.col("from_word") + F.col("words")).select("*", F.lead(line).over(doc).alias("_next"), F.lag(line).over(doc).alias("_prev"))
-    rows = rows.select(
-        "*",
-        F.collect_list("_next").over(ends.rangeBetween(0, min_words - 1)).alias("_follow"),
-        F.reverse(F.collect_list("_prev").over(doc.rangeBetween(-(min_words - 1), 0))).alias("before"),
-    )
+    rows = rows.withColumn("to_word", F.col("from_word") + F.col("words")).withColumn("_next", F.lead(F.struct("hash", "pos")).over(doc))
+    # the lines that begin within min_words words after this one's end
+    rows = rows.withColumn("_follow", F.collect_list("_next").over(ends.rangeBetween(0, min_words - 1)))
     rows = rows.select(
         "*",
         F.collect_list("hash").over(window).alias("_hashes"),
@@ -65,12 +61,12 @@ def windows(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     same = F.lag(F.col("_min.at")).over(doc) == F.col("_min.at")
     rows = rows.withColumn("window", F.xxhash64("_hashes")).withColumn("n", F.size("_hashes"))
     rows = rows.withColumn("time", F.row_number().over(Window.partitionBy(*KEYS, "window", "n").orderBy("pos")))
-    return rows.select("_id", "_th", "pos", "last", "window", "n", "time", F.col("_min.hash").alias("minimum"), F.coalesce(~same, F.lit(True)).alias("chosen"), "after", "before")
+    return rows.select("_id", "_th", "pos", "last", "window", "n", "time", F.col("_min.hash").alias("minimum"), F.coalesce(~same, F.lit(True)).alias("chosen"), F.transform("after", lambda x: x["hash"]).alias("after"), F.transform("after", lambda x: x["pos"]).alias("after_pos"))
 
 
 def _shared(mine, other):
-    """How many lines from the start agree."""
-    pairs = F.zip_with(mine, other, lambda a, b: F.coalesce(a["hash"] == b["hash"], F.lit(False)))
+    """How many items from the start agree."""
+    pairs = F.zip_with(mine, other, lambda a, b: F.coalesce(a == b, F.lit(False)))
     end = F.array_position(pairs, F.lit(False))
     return F.when(end > 0, end - 1).otherwise(F.size(pairs)).cast("int")
 
@@ -84,14 +80,14 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_wo
     place = F.struct(F.col("_id").isNotNull().alias("has_id"), "_id", "_th", "pos")
     # where a document repeats itself its k-th window also meets the first k-th one, so that copies match from start to end
     found = found.withColumn("time", F.explode(F.when(F.col("time") > 1, F.array(F.lit(1), F.col("time"))).otherwise(F.array(F.lit(1)))))
-    first = found.groupBy("window", "n", "time").agg(F.min(place).alias("_first"), F.min(F.struct(place, "after", "before")).alias("_from"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    first = first.select(F.col("window").alias("_w"), F.col("n").alias("_wn"), F.col("time").alias("_wt"), "_first", F.col("_from.after").alias("_after"), F.col("_from.before").alias("_before"))
+    first = found.groupBy("window", "n", "time").agg(F.min(place).alias("_first"), F.min(F.struct(place, "after")).alias("_from"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    first = first.select(F.col("window").alias("_w"), F.col("n").alias("_wn"), F.col("time").alias("_wt"), "_first", F.col("_from.after").alias("_after"))
     # written, so that the join's two sides are plain exchanges and a window that is everywhere can be split
     first = written(first, "first-windows")
-    small = is_small(first, F.size("_after") + F.size("_before"))
+    small = is_small(first, F.size("_after"))
     later = found.join(F.broadcast(first) if small else first, (F.col("window") == F.col("_w")) & (F.col("n") == F.col("_wn")) & (F.col("time") == F.col("_wt"))).filter(place != F.col("_first"))
-    down, up = _shared(F.col("after"), F.col("_after")), _shared(F.col("before"), F.col("_before"))
-    later = later.select("_id", "_th", F.when(up > 0, F.element_at("before", up)["pos"]).otherwise(F.col("pos")).alias("first"), F.when(down > 0, F.element_at("after", down)["pos"]).otherwise(F.col("last")).alias("last"))
+    down = _shared(F.col("after"), F.col("_after"))
+    later = later.select("_id", "_th", F.col("pos").alias("first"), F.when(down > 0, F.element_at("after_pos", down)).otherwise(F.col("last")).alias("last"))
     # one row for each run of a document
     order = Window.partitionBy(*KEYS).orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
