@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, is_small, lookup, row_back, whole_row, written
+from .common import WORD, documents, is_small, row_back, whole_row, written
 
 MIN_WORDS = 50
 #: A run within a document is looked up by id and text hash.
@@ -99,7 +99,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     """docs with repeated runs of lines taken out of the text; with counts, also n_lines and n_deleted."""
     runs = repeated(docs, text, doc_id, min_words).groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs"))
     runs = written(runs, "line-runs")
-    rows = lookup(docs.select(whole_row(docs), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th")), runs, ["_id", "_th"], items=F.size("_runs"))
+    runs = runs.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "_runs")
+    # most corpora have runs in very many documents, so texts are dealt by their keys at every size
+    rows = docs.select(whole_row(docs), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th"))
+    rows = rows.join(runs.hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
     body = F.col("_row").getField(text)
     parts = F.split(body, "\n")
     # what lies between deleted runs: from the end of each to the start of the next
