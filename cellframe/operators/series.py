@@ -375,7 +375,3 @@ class ClassifyFromColumns(SeriesBlock):
             b = F.col(f"`{c}`")
             k = k + F.coalesce(((a > b) if right else (a >= b)).cast("int"), F.lit(0))
         return Series(ctx.features(source, request), F.when(a.isNotNull(), F.get(F.array(*map(F.lit, labels)), k)), source.token)
-
-
-def source_of(block) -> GeometryBlock:
-    return block.source

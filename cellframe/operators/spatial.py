@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import crs as crs_
 from ..functions import statistics
 from ..plans.meta import Extent, Grid, Request, spark_type, statistic_dtype
-from ..plans.raster import KEY, Cells, Context, RasterBlock
-from .elemwise import BaseSingle
+from ..plans.raster import KEY, Cells, Context
 from .temporal import _Single
 
 
@@ -215,6 +214,3 @@ class RasterTiler(_Single):
         cells = ctx.cells(self.args[0], request)
         df = cells.table().repartition(F.floor(F.col("i") / h), F.floor(F.col("j") / w))
         return ctx.leaf(df, cells.times)
-
-
-__all__ = ["BaseSingle", "Dilate", "HillShade", "MovingMax", "Place", "RasterBlock", "RasterTiler", "Smooth"]

@@ -7,7 +7,6 @@ and no comparison of all features with all cells. Overlapping features each have
 from __future__ import annotations
 
 import math
-from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -17,8 +16,8 @@ from ..functions import geometry as geo
 from ..functions import statistics
 from ..plans.block import setting
 from ..plans.geometry import FeatureContext, FeatureRequest, GeometryBlock
-from ..plans.meta import EPOCH, Extent, Grid, Request, parse_percentile, spark_type
-from ..plans.raster import KEY, Context, RasterBlock
+from ..plans.meta import EPOCH, Extent, Grid, Request, spark_type
+from ..plans.raster import Context, RasterBlock
 
 
 def zonal_grid(bbox, size: float, crs: str, most: int, auto: bool) -> tuple[Grid, float]:
@@ -192,6 +191,3 @@ def aggregate_points(features, cells, statistic: str, column: str):
     """(fid, i, j) against cells (t, i, j, v): the value under each point; the count is 1."""
     joined = features.join(cells, ["i", "j"])
     return joined.groupBy("fid", "t").agg(statistics.grouped(statistic, F.col("v").cast("double")).cast("float").alias(column))
-
-
-__all__ = ["AggregateRaster", "AggregateRasterAboveThreshold", "Rasterize", "RasterizeWKT", "zonal_grid", "parse_percentile", "replace", "KEY"]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .block import Block, setting
-from .meta import Extent, Grid, Request, dtype_max, frames_between, spark_type, step_of
+from .meta import Extent, Grid, Request, dtype_max, frames_between, spark_type
 
 KEY = ["t", "i", "j"]
 
@@ -237,6 +237,3 @@ def aligned_step(blocks) -> timedelta | None:
         return None
     step, first = steps.pop(), blocks[0].all_times[0]
     return step if all((b.all_times[0] - first) % step == timedelta(0) for b in blocks) else None
-
-
-__all__ = ["Cells", "Context", "RasterBlock", "KEY", "union_times", "aligned_step", "step_of"]

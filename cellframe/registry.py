@@ -272,7 +272,6 @@ raster_query("tmp_cum_count", "bigint", lambda s, d: temporal.Cumulative(ras_b(s
 raster_query("tmp_cum_week", "bigint", lambda s, d: temporal.Cumulative(ras_b(s, d), "sum", "W"), "SELECT * FROM (SELECT t, i, j, sum(coalesce(v, 0)) OVER (PARTITION BY i, j, date_trunc('week', t) ORDER BY t) AS v FROM b) x WHERE t >= TIMESTAMP '2024-01-10'", start=datetime(2024, 1, 10))
 for _n, _pick in (("backward", "(SELECT max(h.t) FROM half h WHERE h.t <= l.t)"), ("forward", "(SELECT min(h.t) FROM half h WHERE h.t >= l.t)"), ("nearest", "(SELECT arg_min(h.t, abs(date_diff('minute', h.t, l.t)) * 100000 + date_diff('day', TIMESTAMP '2024-01-01', h.t)) FROM half h)")):
     _range = {"backward": "range(1, 21)", "forward": "range(0, 20)", "nearest": "range(0, 21)"}[_n]
-    _first = "0" if _n != "backward" else "0"
     raster_query(f"tmp_resample_{_n}", "bigint", (lambda n: lambda s, d: temporal.Resample(ras_half(s, d), "36h", n))(_n), f"SELECT l.t, half.i, half.j, half.v FROM (SELECT TIMESTAMP '2024-01-01' + to_hours(CAST(36 * k AS INTEGER)) AS t FROM {_range} y(k)) l JOIN half ON half.t = {_pick}", stop=LATE)
 
 # --- space ---
@@ -280,7 +279,6 @@ for _n, _pick in (("backward", "(SELECT max(h.t) FROM half h WHERE h.t <= l.t)")
 NEAR = "JOIN (SELECT CAST(y.di AS INTEGER) AS di, CAST(x.dj AS INTEGER) AS dj FROM range(-2, 3) y(di), range(-2, 3) x(dj)) o ON"
 raster_query("spa_dilate", "bigint", lambda s, d: spatial.Dilate(misc.Classify(ras_b(s, d), [1000, 2000, 5000]), [1, 3]), f"SELECT c.t, c.i, c.j, CASE WHEN bool_or(coalesce(n.k = 3, false)) THEN 3 WHEN bool_or(coalesce(n.k = 1, false)) THEN 1 ELSE any_value(c.k) END AS v FROM (SELECT t, i, j, (v >= 1000)::INT + (v >= 2000)::INT + (v >= 5000)::INT AS k FROM b) c {NEAR} abs(di) + abs(dj) <= 1 LEFT JOIN (SELECT t, i, j, (v >= 1000)::INT + (v >= 2000)::INT + (v >= 5000)::INT AS k FROM b) n ON n.t = c.t AND n.i = c.i + di AND n.j = c.j + dj GROUP BY c.t, c.i, c.j")
 raster_query("spa_movingmax", "bigint", lambda s, d: spatial.MovingMax(ras_b(s, d), 5), f"SELECT c.t, c.i, c.j, max(n.v) AS v FROM b c {NEAR} di * di + dj * dj < 6.25 LEFT JOIN b n ON n.t = c.t AND n.i = c.i + di AND n.j = c.j + dj GROUP BY c.t, c.i, c.j")
-SHADE = "f(-1, -1) f(-1, 0) f(-1, 1) f(0, -1) f(0, 0) f(0, 1) f(1, -1) f(1, 0) f(1, 1)"
 _s = {(di, dj): f"coalesce(max(n.v) FILTER (WHERE di = {di} AND dj = {dj}), 0)" for di in (-1, 0, 1) for dj in (-1, 0, 1)}
 _y = f"({_s[-1, -1]} + 2 * {_s[-1, 0]} + {_s[-1, 1]} - {_s[1, -1]} - 2 * {_s[1, 0]} - {_s[1, 1]})"
 _x = f"({_s[-1, -1]} + 2 * {_s[0, -1]} + {_s[1, -1]} - {_s[-1, 1]} - 2 * {_s[0, 1]} - {_s[1, 1]})"

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crs as crs_
-from ..plans.block import setting
-from ..plans.meta import Extent, Grid, Request, dtype_max, from_ms, frames_between, is_float, regular, spark_type
+from ..plans.meta import Extent, Grid, Request, from_ms, frames_between, is_float, regular, spark_type
 from ..plans.raster import KEY, Cells, Context, RasterBlock
 
 
@@ -159,10 +158,3 @@ class RasterFileSource(RasterSourceBase):
         from .files import raster_cells
 
         return raster_cells(spark, self.args[0], self._times, spark_type(self.dtype))
-
-
-def limit_of(spark) -> int:
-    return int(setting(spark, "raster-limit"))
-
-
-__all__ = ["MemorySource", "TableSource", "ParquetSource", "RasterFileSource", "RasterSourceBase", "dtype_max"]

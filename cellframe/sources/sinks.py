@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import crs as crs_
 from ..functions import geometry as geo
 from ..plans.geometry import GeometryBlock
-from ..plans.meta import Grid, dtype_max, step_of, to_ms
+from ..plans.meta import Grid, dtype_max, step_of
 from ..plans.raster import RasterBlock
 
 
@@ -209,6 +209,3 @@ def merge_tiles(spark, path: str, target: str) -> None:
     none = "" if head.none is None else f"<NoDataValue>{head.none}</NoDataValue>"
     with open(f"{target}/index.vrt", "w", encoding="utf-8") as f:
         f.write(f'<VRTDataset rasterXSize="{width}" rasterYSize="{height}"><SRS>{head.crs}</SRS><GeoTransform>{x0}, {dx}, 0, {y0}, 0, {-dy}</GeoTransform><VRTRasterBand dataType="{head.dtype}" band="1">{none}{parts}</VRTRasterBand></VRTDataset>')
-
-
-__all__ = ["merge_features", "merge_tiles", "GeometryFileSink", "scratch", "write_features", "write_raster", "to_ms"]
