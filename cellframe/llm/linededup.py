@@ -100,9 +100,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     runs = repeated(docs, text, doc_id, min_words).groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs"))
     runs = written(runs, "line-runs")
     runs = runs.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "_runs")
-    # most corpora have runs in very many documents, so texts are dealt by their keys at every size
+    # most corpora have runs in very many documents, so texts are dealt by their keys at every size; runs
+    # are hashed, so that texts need no sorting
     rows = docs.select(whole_row(docs), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th"))
-    rows = rows.join(runs.hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
+    rows = rows.join(runs.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
     body = F.col("_row").getField(text)
     parts = F.split(body, "\n")
     # what lies between deleted runs: from the end of each to the start of the next

@@ -32,7 +32,7 @@ EPOCHS = 2
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.1, 0.1
 THRESHOLD = 0.7
 #: Words whose hash a Python process remembers.
-KNOWN = 100_000
+KNOWN = 50_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\n|(?:[^\w\s]|_)+")
 _known: dict[str, int] = {}
@@ -114,8 +114,10 @@ def _weights(z, n, alpha, beta, l1, l2):
 def _features_of(buckets):
     def run(batches):
         for b in batches:
-            found = [features(t, buckets) for t in b["text"]]
-            yield pd.DataFrame({"_order": b["_order"], "label": b["label"], "at": [f[0] for f in found], "v": [f[1] for f in found]})
+            for i in range(0, len(b), 256):  # features are handed on in small pieces
+                part = b.iloc[i : i + 256]
+                found = [features(t, buckets) for t in part["text"]]
+                yield pd.DataFrame({"_order": part["_order"].to_numpy(), "label": part["label"].to_numpy(), "at": [f[0] for f in found], "v": [f[1] for f in found]})
 
     return run
 
