@@ -39,23 +39,25 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b101011100011
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the runs of so many words, in order; one of all words if there are fewer, none without words."""
     import xxhash
 
-    if not text:
-        return 0
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     flat = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(flat, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[: -shingle] + 1)).tolist()
-        of = xxhash.xxh64_intdigest
-        hashes = np.fromiter((of(flat[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, len(words) - shingle + 1)
-    return majority(hashes)
+        return np.array([xxhash.xxh64_intdigest(flat, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[: -shingle] + 1)).tolist()
+    of = xxhash.xxh64_intdigest
+    return np.fromiter((of(flat[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, len(words) - shingle + 1)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
+    return majority(hashes) if len(hashes) else 0
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -183,7 +185,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """docs without all but one row of each component: the one with the smallest id (a null id only if there is no other)."""
-    found = near_duplicates(docs, text, doc_id, shingle)
+    return one_of_each(docs, near_duplicates(docs, text, doc_id, shingle), text, doc_id)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows that stand for the components that near_duplicates found."""
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("_best"))
     # how many rows repeat the id and text of the one that stays
     ids = best.select(F.col("_best.doc_id").alias("_id"), F.col("_best.text_hash").alias("_th")).distinct()

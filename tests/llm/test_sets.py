@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellframe.llm import forest, hnsw, linededup, mixing, sharding, simhash
+from cellframe.llm import forest, hnsw, linededup, minhash, mixing, sharding, simhash
 from cellframe.llm.common import lookup, written
 from cellframe.llm.components import components
 
@@ -420,6 +420,57 @@ def test_prefixes_are_brute_force():
         assert rows.tolist() == sorted({i for tree in same for i, s in enumerate(tree) if s >= depth})
 
 
+# --- near-duplicates of the pipeline ---
+
+
+def edited(text, edits, seed):
+    r, out = random.Random(seed), text.split()
+    for k in r.sample(range(len(out)), edits):
+        out[k] = f"edit{seed}x{k}"
+    return " ".join(out)
+
+
+def similar_components(texts, similarity=0.8):
+    """The smallest index that links reach, by all pairs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    of = [*range(len(sets))]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if of[i] != of[j] and len(a & b) >= similarity * len(a | b):
+                x, y = sorted((of[i], of[j]))
+                of = [x if k == y else k for k in of]
+    return of
+
+
+def test_near_dedup_stage_finds_edited_copies(spark):
+    bases = [words(200, 1000 + k) for k in range(30)]
+    texts = bases + [edited(b, 1 + k % 12, k) for k, b in enumerate(bases)]
+    texts += [edited(words(300, 5000), 3, 100 + k) for k in range(120)] + [edited(words(300, 5000), 9, 300 + k) for k in range(60)]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    of = similar_components(texts)
+    assert 31 < len(set(of)) < 120
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
+    assert sorted(got) == sorted(set(of))
+
+
+def test_large_buckets_are_all_pairs(spark, monkeypatch):
+    base = words(150, 1)
+    texts = [edited(base, 1 + k % 9, k) for k in range(60)]
+    texts += [edited(texts[k], 6, 100 + k) for k in range(20)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    of = similar_components(texts)
+    for rounds in (0, 6):
+        monkeypatch.setattr(minhash, "ROUNDS", rounds)
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == dict(enumerate(of))
+
+
+def test_minhash_odd(spark, odd, none):
+    assert minhash.near_duplicates(odd).count() == odd.count() and minhash.near_duplicates(none).count() == 0
+    kept = minhash.representatives(odd)
+    assert kept.columns == odd.columns and sum(1 for r in kept.collect() if not (r["text"] or "").strip()) == 1
+
+
 # --- shared parts and the pipeline ---
 
 
