@@ -207,9 +207,7 @@ def feature_schema(url: str, layer: str | None) -> tuple[list[tuple[str, str]],
         df = spark.read.parquet(f"{url}/features")
         return [(c, t) for c, t in df.dtypes if c not in RESERVED], read_manifest(url)["crs"]
     if kind == "geojson":
-        rows = spark.read.text(url, wholetext=not url.endswith(("l", "s"))).limit(100).collect()
-        found = [f for r in rows for f in _json_features(r[0])]
-        return _infer([f.get("properties") or {} for f in found]), "EPSG:4326"
+        return _infer_json(spark.read.text(url, wholetext=not url.endswith(("l", "s")))), "EPSG:4326"
     rows, crs = decode_features(_binary(spark, url), url, layer)
     return _infer([r[2] for r in rows]), crs
 
@@ -222,14 +220,39 @@ def _kind(url: str) -> str:
     return known[suffix]
 
 
+def _kind_of(v) -> str | None:
+    return "boolean" if isinstance(v, bool) else "bigint" if isinstance(v, int) else "double" if isinstance(v, float) else None if v is None else "string"
+
+
+def _type_of(kinds: set) -> str:
+    """The type that holds values of all these kinds."""
+    kinds = kinds - {None}
+    return kinds.pop() if len(kinds) == 1 else "double" if kinds == {"bigint", "double"} else "string"
+
+
 def _infer(rows: list[dict]) -> list[tuple[str, str]]:
-    out: dict[str, str] = {}
+    out: dict[str, set] = {}
     for r in rows:
         for k, v in r.items():
-            kind = "boolean" if isinstance(v, bool) else "bigint" if isinstance(v, int) else "double" if isinstance(v, float) else None if v is None else "string"
-            old = out.get(k)
-            out[k] = kind if old is None else old if kind in (None, old) else "double" if {kind, old} == {"bigint", "double"} else "string"
-    return [(k, v or "string") for k, v in out.items()]
+            out.setdefault(k, set()).add(_kind_of(v))
+    return [(k, _type_of(v)) for k, v in out.items()]
+
+
+def _infer_json(text: DataFrame) -> list[tuple[str, str]]:
+    """The same over all rows of text, in the order of first appearance; what is collected grows with the number of properties only."""
+
+    def run(batches):
+        found: dict[tuple, tuple] = {}
+        for b in batches:
+            for value, n in zip(b["value"], b["n"]):
+                for k, f in enumerate(_json_features(value)):
+                    for i, (name, v) in enumerate((f.get("properties") or {}).items()):
+                        found.setdefault((name, _kind_of(v)), (n, k, i))
+        yield pd.DataFrame([(*what, *at) for what, at in found.items()], columns=["name", "kind", "n", "k", "i"])
+
+    each = text.select("value", F.monotonically_increasing_id().alias("n")).mapInPandas(run, "name string, kind string, n long, k long, i long")
+    rows = each.groupBy("name").agg(F.min(F.struct("n", "k", "i")).alias("at"), F.collect_set("kind").alias("kinds")).orderBy("at").collect()
+    return [(r["name"], _type_of(set(r["kinds"]))) for r in rows]
 
 
 def _json_features(text: str) -> list[dict]:

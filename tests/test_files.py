@@ -223,3 +223,15 @@ def test_strict_paths(spark, tmp_path):
 
 def test_scratch_is_shared(spark):
     assert sinks.scratch(spark, "x") != sinks.scratch(spark, "x")
+
+
+def test_geojson_schema_is_of_all_rows(spark, tmp_path):
+    """What differs after the first hundred lines counts as well."""
+    point = {"type": "Point", "coordinates": [1.0, 2.0]}
+    props = [{"n": k, "late": None, "text": k} for k in range(150)] + [{"n": 0.5, "late": 7, "text": "word", "new": True}]
+    (tmp_path / "a.geojsonl").write_text("".join(json.dumps({"type": "Feature", "geometry": point, "properties": p}) + "\n" for p in props))
+    got = GeometryFileSource(f"{tmp_path}/a.geojsonl").get_data(spark)
+    assert {c: t for c, t in got.dtypes if c in ("n", "late", "text", "new")} == {"n": "double", "late": "bigint", "text": "string", "new": "boolean"}
+    rows = got.select("n", "late", "text", "new").collect()
+    assert len(rows) == 151 and [tuple(r) for r in rows if r["new"]] == [(0.5, 7, "word", True)]
+    assert sorted(r["n"] for r in rows) == [0.0, 0.5, *map(float, range(1, 150))]
