@@ -1,12 +1,11 @@
 """Geometry operations that need a geometry engine: the JTS library that Spark ships, called by small Java functions.
 
-The functions' source is compiled once a session with javac, on the driver, and sent to executors as a jar. Where javac is missing, asking for one of them raises.
+The functions' source is compiled once a session inside the driver's JVM, by the compiler that Spark itself generates code with, and sent to executors as a jar: no JDK
+is needed, and no path of Spark's own files.
 """
 
 from __future__ import annotations
 
-import shutil
-import subprocess
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,39 +20,36 @@ NAMES = {"buffer": "Buffer", "difference": "Difference", "intersection": "Inters
 _ready: set[str] = set()
 
 
-class JavaMissing(RuntimeError):
-    """No javac to compile the geometry functions."""
-
-
-def available() -> bool:
-    return shutil.which("javac") is not None
-
-
 def function(spark, name: str):
     """The operation as a function of columns."""
     _install(spark)
     return lambda *cols: F.call_function(f"cellframe_{name}", *(c if isinstance(c, Column) else F.lit(c) for c in cols))
 
 
+def compiled(spark) -> dict[str, bytes]:
+    """The classes of the functions' source, by name."""
+    jvm = spark.sparkContext._jvm
+    compiler = jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    compiler.cook(SOURCE.read_text())
+    return {str(name): bytes(code) for name, code in dict(compiler.getBytecodes()).items()}
+
+
 def _install(spark) -> None:
     session = spark.sparkContext.applicationId
     if session not in _ready:
-        if not available():
-            raise JavaMissing("Buffer, Difference, general Intersection and Simplify need javac")
-        import pyspark
-
-        work = Path(tempfile.mkdtemp(prefix="cellframe-jts-"))
-        jars = Path(pyspark.__file__).parent / "jars"
-        # the compiler is given the Java level of the running machine
-        subprocess.run(["javac", "-nowarn", "-cp", f"{jars}/*", "-d", str(work), str(SOURCE)], check=True, capture_output=True)
-        jar = work / "cellframe-geometry.jar"
+        jar = Path(tempfile.mkdtemp(prefix="cellframe-jts-")) / "cellframe-geometry.jar"
         with zipfile.ZipFile(jar, "w") as z:
-            for p in work.rglob("*.class"):
-                z.write(p, p.relative_to(work))
+            for name, code in compiled(spark).items():
+                z.writestr(f"{name.replace('.', '/')}.class", code)
         spark.sql(f"ADD JAR '{jar}'")
         _ready.add(session)
     from pyspark.sql.types import _parse_datatype_string
 
-    kind = _parse_datatype_string(TYPE)
+    jvm, of = spark.sparkContext._jvm, spark._jsparkSession
+    kind = of.parseDataType(_parse_datatype_string(TYPE).json())
+    loader = of.sharedState().jarClassLoader()
     for name, cls in NAMES.items():
-        spark.udf.registerJavaFunction(f"cellframe_{name}", f"cellframe.GeometryFunctions${cls}", kind)
+        # registered as an instance: the compiler writes no signatures that a look-up by name could read
+        made = jvm.java.lang.Class.forName(f"cellframe.GeometryFunctions${cls}", True, loader).newInstance()
+        of.udf().register(f"cellframe_{name}", made, kind)

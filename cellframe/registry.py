@@ -154,13 +154,13 @@ raster_query("raster_array", "bigint", _memory, "SELECT TIMESTAMP '1970-01-01' A
 
 def _frames(mode):
     def run(spark, sf_dir):
-        return ras_a(spark, sf_dir).get_data(spark, mode=mode, start=T0, stop=T0 + 3 * DAY)
+        return ras_a(spark, sf_dir).get_data(spark, mode=mode, start=T0, stop=T1)
 
     return run
 
 
-table_query("raster_time", _frames("time"), "SELECT CAST(t AS TIMESTAMP) AS t FROM axis WHERE t <= TIMESTAMP '2024-01-04'")
-table_query("raster_meta", _frames("meta"), "SELECT CAST(t AS TIMESTAMP) AS t, CAST(NULL AS VARCHAR) AS meta FROM axis WHERE t <= TIMESTAMP '2024-01-04'")
+table_query("raster_time", _frames("time"), "SELECT CAST(t AS TIMESTAMP) AS t FROM axis")
+table_query("raster_meta", _frames("meta"), "SELECT CAST(t AS TIMESTAMP) AS t, CAST(NULL AS VARCHAR) AS meta FROM axis")
 
 
 def _features(block, *columns, **request):
@@ -334,11 +334,11 @@ table_query("zonal_small", _zonal(lambda s, d: zonal.AggregateRaster(_small(s, d
 
 
 def _array(spark, sf_dir):
-    df = zonal.AggregateRaster(zones(spark, sf_dir), ras_b(spark, sf_dir), "max").get_data(spark, start=T0, stop=T0 + 2 * DAY)
+    df = zonal.AggregateRaster(zones(spark, sf_dir), ras_b(spark, sf_dir), "max").get_data(spark, start=T0, stop=T1)
     return df.select("fid", F.array_join(F.transform("agg", lambda v: F.coalesce(F.round(v.cast("double"), -1).cast("long").cast("string"), F.lit("-"))), ",").alias("agg"))
 
 
-table_query("zonal_temporal_array", _array, f"SELECT fid, string_agg(coalesce(CAST(CAST(round(v, -1) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY t) AS agg FROM (SELECT fid, axis.t, CAST(CAST(max(v) AS FLOAT) AS DOUBLE) AS v FROM zones CROSS JOIN axis LEFT JOIN b ON b.t = axis.t AND {INSIDE} WHERE axis.t <= TIMESTAMP '2024-01-03' GROUP BY fid, axis.t) x GROUP BY fid")
+table_query("zonal_temporal_array", _array, f"SELECT fid, string_agg(coalesce(CAST(CAST(round(v, -1) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY t) AS agg FROM (SELECT fid, axis.t, CAST(CAST(max(v) AS FLOAT) AS DOUBLE) AS v FROM zones CROSS JOIN axis LEFT JOIN b ON b.t = axis.t AND {INSIDE} GROUP BY fid, axis.t) x GROUP BY fid")
 # larger cells than asked for have the value at their centre, and count for what they cover
 COARSE = """, z AS (SELECT min(x0) AS ax, min(y0) AS ay, max(x1) AS bx, max(y1) AS cy FROM zones),
 s AS (SELECT *, CASE WHEN floor((bx - ax) * (cy - ay)) > 30 THEN ceil(sqrt(floor((bx - ax) * (cy - ay)) / 30.0)) ELSE 1.0 END::DOUBLE AS s FROM z),
@@ -375,17 +375,25 @@ table_query("geo_area", lambda s, d: vector.Area(zones(s, d), CRS).get_data(s),
 table_query("geo_intersection_box", lambda s, d: vector.Intersection(zones(s, d)).get_data(s, geometry=(1.5, 1.5, 4.5, 4.5)).select("fid", F.round(geo.area(F.col("geom")), 4).alias("area")), "SELECT fid, round((least(x1, 4.5) - greatest(x0, 1.5)) * (least(y1, 4.5) - greatest(y0, 1.5)), 4) AS area FROM zones WHERE x0 < 4.5 AND x1 > 1.5 AND y0 < 4.5 AND y1 > 1.5")
 
 
-def _shrunk(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter(F.col("s_suppkey") % 2 == 0)
-    x, y = (F.col("s_suppkey") % 8).cast("double"), (F.col("s_nationkey") % 8).cast("double")
-    return TableFeatures(df.select(F.col("s_suppkey").alias("fid"), geo.box(x, y, x + 0.5, y + 0.5).alias("geom")), CRS)
+def _corners(spark, sf_dir):
+    """A quarter of each zone's side."""
+    df = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    x, y, side = (F.col("s_suppkey") % 8).cast("double"), (F.col("s_nationkey") % 8).cast("double"), (1 + F.col("s_suppkey") % 3) / 4
+    return TableFeatures(df.select(F.col("s_suppkey").alias("fid"), geo.box(x, y, x + side, y + side).alias("geom")), CRS)
 
 
 def _geometry_area(block):
     return lambda s, d: block(s, d).get_data(s).select("fid", F.round(geo.area(F.col("geom")), 4).alias("area"))
 
 
-table_query("geo_difference", _geometry_area(lambda s, d: vector.Difference(zones(s, d), _shrunk(s, d))), "SELECT fid, round((x1 - x0) * (y1 - y0) - CASE WHEN fid % 2 = 0 THEN 0.25 ELSE 0 END, 4) AS area FROM zones")
+table_query("geo_difference", _geometry_area(lambda s, d: vector.Difference(zones(s, d), _corners(s, d))), "SELECT fid, round((x1 - x0) * (y1 - y0) * 15 / 16, 4) AS area FROM zones")
+# a box less what lies beyond the line x + y = 11.5
+BEYOND = " + ".join(f"{sign} * power(greatest({x} + {y} - 11.5, 0), 2) / 2" for sign, x, y in ((-1, "x1", "y1"), (1, "x0", "y1"), (1, "x1", "y0"), (-1, "x0", "y0")))
+table_query(
+    "geo_intersection_polygon",
+    lambda s, d: vector.Intersection(zones(s, d)).get_data(s, geometry="POLYGON ((0 0, 11.5 0, 0 11.5, 0 0))").select("fid", F.round(geo.area(F.col("geom")), 4).alias("area")),
+    f"SELECT fid, round((x1 - x0) * (y1 - y0) + {BEYOND}, 4) AS area FROM zones WHERE x0 + y0 < 11.5",
+)
 # a quarter circle of 16 segments has the area 16 / 2 * sin(pi / 32) times the square of its radius
 table_query("geo_buffer", _geometry_area(lambda s, d: vector.Buffer(zones(s, d), 0.5, CRS)), "SELECT fid, round((x1 - x0) * (y1 - y0) + 2 * (x1 - x0) + 32 * sin(pi() / 32) * 0.25, 4) AS area FROM zones")
 table_query("geo_buffer_extent", lambda s, d: vector.Buffer(zones(s, d), 0.5, CRS).get_data(s, mode="extent"), "SELECT min(x0) - 0.5 AS minx, min(y0) - 0.5 AS miny, max(x1) + 0.5 AS maxx, max(y1) + 0.5 AS maxy FROM zones")

@@ -1,6 +1,10 @@
 """Hand-computed values for feature blocks, series and zonal statistics."""
 
+import glob
 import math
+import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -8,7 +12,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellframe.functions import geometry as geo
-from cellframe.functions import jts
 from cellframe.operators import series as s
 from cellframe.operators import vector, zonal
 from cellframe.operators.text import ParseTextColumn
@@ -238,7 +241,31 @@ def test_tiler(spark):
         vector.GeometryTiler(f, 2, CRS).get_data(spark)
 
 
-@pytest.mark.skipif(not jts.available(), reason="no javac")
+ENGINE = """
+import sys
+sys.path.insert(0, {here!r})
+from pyspark.sql import SparkSession, functions as F
+from cellframe.functions import geometry as geo, jts
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+box = spark.range(1).select(geo.box(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(2.0)).alias("geom"))
+print("area", box.select(geo.area(jts.function(spark, "simplify")(F.col("geom"), F.lit(0.1), F.lit(True)))).first()[0])
+"""
+
+
+def test_engine_with_zipped_spark():
+    """The functions are compiled where PySpark is imported from an archive."""
+    import pyspark
+
+    home = os.path.dirname(pyspark.__file__)
+    zips = glob.glob(os.path.join(home, "python", "lib", "*.zip"))
+    if not zips or ".zip" in home:
+        pytest.skip("no archives beside this PySpark")
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(zips), "SPARK_HOME": home, "PYSPARK_PYTHON": sys.executable}
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    ran = subprocess.run([sys.executable, "-c", ENGINE.format(here=here)], env=env, capture_output=True, text=True, timeout=300)
+    assert "area 4.0" in ran.stdout, ran.stderr[-2000:]
+
+
 def test_engine(spark):
     f = boxes(spark, [(1, 0.0, 0.0, 2.0, 2.0), (2, 0.0, 0.0, 4.0, 4.0)])
     area = lambda block, **r: [x["a"] for x in block.get_data(spark, **r).orderBy("fid").select(geo.area(F.col("geom")).alias("a")).collect()]
