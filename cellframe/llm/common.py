@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table is broadcast up to this many rows (of bounded width; where rows hold lists, up to so many items); beyond, it is joined by shuffling.
 BROADCAST_ROWS = 20_000
+#: A key of over HOT rows is broadcast where keys are split, HOT_KEYS at most: those with most rows.
+HOT = 1_000
+HOT_KEYS = 20_000
 
 _local: dict[str, str] = {}
 
@@ -56,6 +59,14 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left",
     return df.join(F.broadcast(table) if small else table, on, how).drop(*(f"_r_{c}" for c in keys))
 
 
+def split_hot(rows: DataFrame, table: DataFrame, key: str, count: str) -> tuple[DataFrame, DataFrame]:
+    """The inner join of rows to a written table of one row for each key, as two parts: the keys of most rows (HOT_KEYS at most, by the
+    table's column of counts) are broadcast, so that none lands in a single task; the others are dealt by the key."""
+    hot = written(table.filter(F.col(count) > HOT).orderBy(F.desc(count), key).limit(HOT_KEYS), "hot")
+    keys = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key), rows.join(keys, key, "left_anti").join(table.join(keys, key, "left_anti"), key)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, so that columns of our own can't clash with them; row_back undoes it."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")

@@ -1,14 +1,16 @@
 """Mixing, line dedup, sharding, near-duplicates, neighbours and the pipeline against plain versions, on odd rows and with a hot group."""
 
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellframe.llm import forest, hnsw, linededup, minhash, mixing, sharding, simhash
+from cellframe.llm import common, forest, hnsw, linededup, minhash, mixing, sharding, simhash
 from cellframe.llm.common import lookup, written
 from cellframe.llm.components import components
 
@@ -78,65 +80,92 @@ def test_inclusion_follows_size(spark):
 # --- line dedup ---
 
 
-def plain_dedup(docs, least=50):
-    """Windows by content; the first place of each kind stays."""
-    docs = sorted({(d, t) for d, t in docs if t}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    lines = {(d, t): [(n, x, size_of(x)) for n, x in enumerate(t.split("\n")) if size_of(x)] for d, t in docs}
-    seen, all_ = {}, []
-    for doc in docs:
-        own, times = lines[doc], {}
-        for i in range(len(own)):
-            j, n = i, 0
-            while j < len(own) and n < least:
-                n += own[j][2]
+def plain_lines(text):
+    """Lines by walking over the words: (line, white space after it)."""
+    out, line = [], ""
+    for word, space in re.findall(r"([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)", text):
+        line += word
+        if word[-1] in ".!?" or set(space) - set(" \t") or len(line.split()) == linededup.LINE_WORDS:
+            out.append((line, space))
+            line = ""
+        else:
+            line += space
+    return out + ([(line.rstrip(" \t"), line[len(line.rstrip(" \t")) :])] if line else [])
+
+
+def plain_dedup(docs, least=20, run=3):
+    """Every run of lines is held against all earlier places."""
+    docs = sorted({(d, t) for d, t in docs if t}, key=lambda x: (x[0] is not None, x[0] or 0, np.uint64(xxhash.xxh64_intdigest(x[1], 42)).astype(np.int64)))
+    earlier, out = set(), {}
+    for d, t in docs:
+        lines = plain_lines(t)
+        hit = [False] * len(lines)
+        for i in range(len(lines) - run + 1):
+            piece = tuple(x for x, _ in lines[i : i + run])
+            if piece in earlier:
+                hit[i : i + run] = [True] * run
+            earlier.add(piece)
+        i, kept, gone = 0, t[: len(t) - len(t.lstrip(" \t\n\v\f\r"))], False
+        while i < len(lines):
+            j = i
+            while j < len(lines) and hit[j] == hit[i]:
                 j += 1
-            if n >= least:
-                key = tuple(x[1] for x in own[i:j])
-                times[key] = times.get(key, 0) + 1
-                for k in {1, times[key]}:
-                    all_.append((doc, i, j, key, k))
-                    seen.setdefault((key, k), (doc, i, j))
-    gone = {}
-    for doc, i, j, key, k in all_:
-        first, i0, j0 = seen[key, k]
-        if (first, i0) != (doc, i):
-            a, b = lines[doc], lines[first]
-            n = 0
-            while j < len(a) and j0 < len(b) and a[j][1] == b[j0][1] and n < least:
-                n += a[j][2]
-                j, j0 = j + 1, j0 + 1
-            n = 0
-            while i and i0 and a[i - 1][1] == b[i0 - 1][1] and n + a[i - 1][2] <= least - 1 + a[i - 1][2] and n < least:
-                n += a[i - 1][2]
-                i, i0 = i - 1, i0 - 1
-            gone.setdefault(doc, set()).update(range(a[i][0], a[j - 1][0] + 1))
-    return {doc: "\n".join(x for n, x in enumerate(doc[1].split("\n")) if n not in gone.get(doc, ())) for doc in docs}
+            body = "".join(x + y for x, y in lines[i:j])
+            go = hit[i] and size_of(body) >= least
+            gone |= go
+            kept += "" if go else body
+            i = j
+        out[d, t] = kept if gone else t
+    return out
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_line_dedup_is_brute_force(spark, seed):
     r = random.Random(seed)
-    pool = [words(r.choice([1, 3, 12, 26, 60]), k) for k in range(12)] + ["", " "]
-    passages = [[r.choice(pool) for _ in range(r.randint(2, 6))] for _ in range(4)]
+    end = lambda: r.choice([" ", ". ", "! ", "?\n", "\n", "\n\n", "\t", " . "])
+    pool = [words(r.choice([1, 2, 5, 9, 30]), k) for k in range(14)]
+    passages = ["".join(r.choice(pool) + end() for _ in range(r.randint(3, 9))) for _ in range(5)]
     docs = []
     for d in range(40):
-        text = [words(r.randint(1, 40), 1000 * d + k) for k in range(r.randint(0, 5))]
+        text = [words(r.randint(1, 40), 1000 * d + k) + end() for k in range(r.randint(0, 5))]
         for _ in range(r.randint(0, 3)):
+            # whole, or cut out of the middle
+            p = r.choice(passages).split(" ")
             at = r.randint(0, len(text))
-            text[at:at] = r.choice(passages)
-        docs.append((d, "\n".join(text)))
-    docs += [(100 + k, docs[3][1]) for k in range(5)] + [(200, "\n".join(["again and again"] * 60))]
-    got = {(x["doc_id"]): x["text"] for x in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+            text[at:at] = [" ".join(p if r.random() < 0.5 else p[r.randint(0, 6) : -r.randint(1, 6)]) + end()]
+        docs.append((d, r.choice(["", " ", "\n"]) + "".join(text)))
+    docs += [(100 + k, docs[3][1]) for k in range(5)] + [(200, "\n".join(["again and again"] * 60)), (201, "x " * 100), (7, docs[8][1])]
+    got = {(x["doc_id"], x["was"]): x["text"] for x in linededup.dedup_lines(spark.createDataFrame([(d, t, t) for d, t in docs], "doc_id long, text string, was string")).collect()}
     expected = plain_dedup(docs)
-    assert got == {d: expected.get((d, t), t) for d, t in docs}
+    assert got == {(d, t): expected.get((d, t), t) for d, t in docs}
+    assert sum(a != b for (_, a), b in expected.items()) > 10
 
 
 def test_passages_go_and_clean_texts_stay(spark):
-    passage = words(55, 77)
-    docs = [(k, words(30, k) + "\n" + passage + "\n" + words(30, 500 + k)) for k in range(20)] + [(100 + k, words(80, 900 + k) + "\nAll rights reserved.") for k in range(5)]
+    sentences = [words(9, 70 + k).capitalize() + "." for k in range(6)]
+    passage = " ".join(sentences)
+    docs = [(k, words(30, k) + " " + passage + " " + words(30, 500 + k)) for k in range(20)] + [(100 + k, words(80, 900 + k) + "\nAll rights reserved.") for k in range(5)]
     got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), counts=True).collect()}
-    assert passage in got[0]["text"] and not any(passage in got[k]["text"] for k in range(1, 20))
-    assert all(got[k]["n_deleted"] == 1 for k in range(1, 20)) and all(got[d]["text"] == t for d, t in docs[20:])
+    assert passage in got[0]["text"] and not any(sentences[2] in got[k]["text"] for k in range(1, 20))
+    assert all(got[k]["n_deleted"] >= 40 and got[k]["text"].startswith(words(24, k)[:50]) for k in range(1, 20)) and all(got[d]["text"] == t for d, t in docs[20:])
+
+
+def test_every_earlier_copy_counts(spark):
+    """The tail of a run is found though the first document that holds its head goes on otherwise."""
+    head, tail = "\n".join(words(12, k) for k in range(5)), words(5, 60)
+    docs = [(1, head + "\nother end"), (2, head + "\n" + tail), (3, head + "\n" + tail), (4, words(7, 61) + "\n" + head + "\nother end")]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: tail, 3: "", 4: words(7, 61) + "\n"}
+
+
+def test_line_dedup_hot_keys(spark, monkeypatch):
+    """Frequent keys take the broadcast path; the result is the same."""
+    docs = [(k, words(30, 3) + ". " + words(40, 100 + k % 9) + ". " + words(30, 4)) for k in range(60)]
+    want = plain_dedup(docs)
+    monkeypatch.setattr(common, "HOT", 8)
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    got = {(r["doc_id"], r["was"]): r["text"] for r in linededup.dedup_lines(spark.createDataFrame([(d, t, t) for d, t in docs], "doc_id long, text string, was string")).collect()}
+    assert got == want
 
 
 def test_line_dedup_odd(spark, odd, none):
@@ -146,7 +175,7 @@ def test_line_dedup_odd(spark, odd, none):
     assert [r["text"] for r in got if r["doc_id"] == 1] == [None] and [r["text"] for r in got if r["doc_id"] == 3] == [" \t\n "]
     # equal texts under two ids: the first stays, both of its rows
     assert [len(r["text"]) > 0 for r in got if r["doc_id"] == 5] == [True, True] and [r["text"] for r in got if r["doc_id"] == 6] == [""]
-    assert [r["text"] for r in got if r["doc_id"] == 10] == [words(5, 6)] or [r["text"] for r in got if r["doc_id"] == 10] == [""]
+    assert [r["text"] for r in got if r["doc_id"] == 10] == [words(5, 6)]
     assert linededup.dedup_lines(none).count() == 0
 
 
