@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.llm import linededup, minhash, mixing, packing, quality
-from cellframe.llm.common import crc32_of, documents, row_back, whole_row, written
+from cellframe.llm.common import WORD, crc32_of, documents, row_back, whole_row, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     out = linededup.dedup_lines(docs.select(whole_row(docs), "doc_id", "text"), counts=True)
     changed = F.col("n_deleted") > 0
     n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))
-    return out.filter(~changed | (F.trim("text") != "")).select(*row_back(docs.columns, text=F.col("text"), n_chars=n_chars))
+    return out.filter(~changed | F.regexp_like("text", F.lit(WORD))).select(*row_back(docs.columns, text=F.col("text"), n_chars=n_chars))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
