@@ -11,7 +11,7 @@ of candidates is doubled until an audit (brute force for a sample of the queries
 Equal vectors are indexed once, with their smallest ids, so a vector that is everywhere costs no more than one.
 
 Defined results. Vectors that are null, empty, zero, or hold a null, NaN or infinity take no part, nor do rows with a null id. Rows that repeat an id and
-vector count once, and a query never finds its own id. Vectors of different lengths never meet. Fewer candidates than asked for give
+vector count once; rows that share an id but not the vector are queries of their own, each with its k rows. A query never finds its own id. Vectors of different lengths never meet. Fewer candidates than asked for give
 fewer rows. An empty table gives an empty table. Other columns are dropped.
 """
 
@@ -135,11 +135,15 @@ def _cell(k: int):
             ids, first = np.frombuffer(b["ids"], "<i8"), np.concatenate(([0], np.cumsum(lengths)))
             vectors = unit(np.frombuffer(b["vectors"], "<f8").reshape(len(lengths), -1))
             queries = unit(np.stack(asked["v"].to_numpy()))
-            # one more than asked for, as a query's own row is among them
-            for own, (rows, sims) in zip(asked["vec_id"].tolist(), nearest(Forest.load(b["forest"]), vectors, queries, k + 1)):
-                found = [(-s, i) for r, s in zip(rows.tolist(), sims.tolist()) for i in ids[first[r] : first[r + 1]].tolist() if i != own]
-                out += [(own, i, min(1.0, -s)) for s, i in sorted(found)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            forest, own, vector = Forest.load(b["forest"]), asked["vec_id"].to_numpy(), asked["k2"].to_numpy()
+            # as many more than asked for as there are vectors under the query's own id
+            most = k + asked["own"].to_numpy()
+            for m in np.unique(most):
+                at = np.flatnonzero(most == m)
+                for q, (rows, sims) in zip(at, nearest(forest, vectors, queries[at], int(m))):
+                    found = [(-s, i) for r, s in zip(rows.tolist(), sims.tolist()) for i in ids[first[r] : first[r + 1]].tolist() if i != own[q]]
+                    out += [(own[q], vector[q], i, min(1.0, -s)) for s, i in sorted(found)[:k]]
+        return pd.DataFrame(out, columns=["query_id", "query", "vec_id", "score"])
 
     return run
 
@@ -158,7 +162,10 @@ def search(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embeddin
     few = clean(rows).dropDuplicates(["k1", "k2", "vec_id"]).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
     nodes = few.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))
     nodes = written(nodes.withColumn("dim", F.size("v")), "forest-nodes")
-    asked = written(clean(queries).dropDuplicates(["vec_id", "k1", "k2"]).withColumn("dim", F.size("v")), "forest-queries")
+    # how many vectors the id of a query has among the rows
+    wanted = clean(queries).select(F.col("vec_id").alias("_q")).distinct()
+    own = clean(rows).join(wanted, F.col("vec_id") == F.col("_q"), "left_semi").dropDuplicates(["vec_id", "k1", "k2"]).groupBy("vec_id").agg(F.count(F.lit(1)).cast("int").alias("own"))
+    asked = written(clean(queries).dropDuplicates(["vec_id", "k1", "k2"]).join(own, "vec_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("dim", F.size("v")), "forest-queries")
     sizes = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).join(asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("parts")), "dim")
     sizes = written(sizes, "forest-sizes")  # a row for each length of vectors
     few_sizes = F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes
@@ -167,9 +174,9 @@ def search(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embeddin
     index = index.join(few_sizes, "dim").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("blocks", "parts")
     asked = asked.join(few_sizes, "dim").withColumn("part", F.expr("pmod(k2, parts)").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["dim", "block", "part"]
-    found = index.groupBy(*key).cogroup(asked.select(*key, "vec_id", "v").groupBy(*key)).applyInPandas(_cell(k), "query_id long, vec_id long, score double")
+    found = index.groupBy(*key).cogroup(asked.select(*key, "vec_id", "k2", "own", "v").groupBy(*key)).applyInPandas(_cell(k), "query_id long, query long, vec_id long, score double")
     # k rows for each query and index block
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
