@@ -110,9 +110,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row as often as the mix takes it. Repeated rows stay as often as they were, times their copies."""
-    taken = mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.max("copies").alias("_copies"))
+    """docs with every row as often as the mix takes it. Rows that repeat an id and text are one document: one of them is delivered, as often as all of them together are taken."""
+    taken = mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.sum("copies").cast("int").alias("_copies"))
+    taken = written(taken, "mix-taken")
     out = docs.select(whole_row(docs), F.col(options.get("doc_id", "doc_id")).alias("_i"), F.xxhash64(options.get("text", "text")).alias("_h"))
+    again = written(out.groupBy("_i", "_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("_i").alias("_ri"), F.col("_h").alias("_rh")), "mix-repeats")
+    if not again.isEmpty():
+        repeats = F.col("_i").eqNullSafe(F.col("_ri")) & (F.col("_h") == F.col("_rh"))
+        one = out.join(again, repeats, "left_semi").groupBy("_i", "_h").agg(F.first("_row").alias("_row"))
+        out = out.join(again, repeats, "left_anti").select("_row", "_i", "_h").unionByName(one)
     out = out.join(taken, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*row_back(docs.columns))
 
