@@ -10,7 +10,7 @@ first; what is shuffled and collected depends on alphabets and languages, not on
 
 Defined results. A null text or one without letters is `und` with score 0. Rows with a null language teach nothing. If nothing can be learnt
 every text is `und`. Ties in rank go by n-gram, ties in distance by name of the language. Repeated rows count each and get the same result. An empty
-table gives an empty table. Other columns stay as they are.
+table gives an empty table. Other columns stay as they are; columns named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of, documents
+from .common import crc32_of, documents, row_back, whole_row
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -130,7 +130,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
             yield pd.DataFrame({"lang_pred": names[pred], "score": score})
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, of(F.col(text)).alias("_found")).select(*kept, "_found.lang_pred", "_found.score")
+    found = docs.select(whole_row(docs), of(F.col(text)).alias("_new"))
+    return found.select(*row_back(kept), "_new.lang_pred", "_new.score")
 
 
 def op2_langid(spark, sf_dir):

@@ -9,7 +9,7 @@ task, in an order fixed by the hash, so reruns agree. Weights have a fixed size
 
 Defined results. An empty or null text is scored by the bias. Rows without label, or with a null label, are not learnt from. With no
 labelled rows at all, or one class only, every score is that class's share (0.5 if there is none). Repeated rows score alike. If an
-id has several labels the largest counts once. Other columns of the input are kept out.
+id has several labels the largest counts once; of several texts of an id that with the least hash is learnt from. Other columns of the input are kept out.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, documents, written
+from .common import crc32_of, documents, is_small, written
 
 BUCKETS = 1 << 18
 #: Most rows to learn from.
@@ -151,10 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     """Weights from rows of docs that have a label (by id); docs holds only rows that may be learnt from."""
     wanted = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).filter("_id is not null and label is not null").groupBy("_id").agg(F.max("label").alias("label"))
     order = F.xxhash64(F.lit("quality"), F.col("_id").cast("string"))
-    # the ids to learn from are bounded by `sample`, so they are broadcast
     ids = docs.select(F.col(doc_id).alias("_id")).filter("_id is not null").distinct()
     chosen = written(wanted.join(ids, "_id").withColumn("_order", order).orderBy("_order", "_id").limit(sample), "quality-labels")
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").dropDuplicates(["_id"])
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen) if is_small(chosen) else chosen, "_id")
+    # of rows that repeat an id the one whose text has the least hash is learnt from
+    rows = rows.groupBy("_id", "label", "_order").agg(F.min(F.struct(F.xxhash64("text").alias("_th"), "text")).getField("text").alias("text"))
     rows = rows.select("text", F.col("label").cast("double").alias("label"), "_order").mapInPandas(_features_of(buckets), "_order long, label double, at array<int>, v array<float>")
     got = rows.repartition(1).mapInPandas(_train_all(buckets), "w binary").first()
     return np.frombuffer(got["w"], dtype=np.float32).astype(np.float64)

@@ -187,29 +187,49 @@ def plain_shards(docs, shards=8):
 
     h = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
     rows = sorted((h(t or ""), h("" if d is None else str(d)), d, len((t or "").encode()) + 1) for d, t in docs)
-    total, before, group, first = sum(r[3] for r in rows), 0, {}, {}
+    total, group = sum(r[3] for r in rows), {}
     for r in rows:
         group[r[0]] = group.get(r[0], 0) + r[3]
+    # large groups first, each to the emptiest shard, whole if it fits
+    room, own, order = [total / shards] * shards, {}, {}
+    for key, size in sorted(group.items(), key=lambda x: (-x[1], x[0])):
+        if size > 0.001 * total / shards:
+            order[key] = len(order)
+            s = room.index(max(room))
+            if room[s] >= size:
+                own[key] = s
+                room[s] -= size
+    rows.sort(key=lambda r: (order.get(r[0], 1 << 40), r))
+    before, first, out, slots = 0, {}, [], {}
+    for r in rows:
         first.setdefault(r[0], before)
-        before += r[3]
-    before, out, slots = 0, [], {}
+        before += 0 if r[0] in own else r[3]
+    before = 0
     for k, _, d, size in rows:
-        place = first[k] + group[k] / 2 if group[k] <= sharding.WHOLE_GROUP * total / shards else before + size / 2
-        s = min(shards - 1, int(place * shards / total))
+        if k in own:
+            s = own[k]
+        else:
+            place = before + size / 2 if k in order else first[k] + group[k] / 2
+            s = min(shards - 1, sum(sum(room[: i + 1]) <= place for i in range(shards)))
+            before += size
         slots[s] = slots.get(s, -1) + 1
         out.append((d, size, s, slots[s]))
-        before += size
     return out
 
 
 def test_shards_are_brute_force_with_a_hot_group(spark):
-    docs = [(k, words(random.Random(k).randint(0, 200), k)) for k in range(600)] + [(1000 + k, "the same text") for k in range(3000)] + [(9000 + k, words(30, 50)) for k in range(40)]
+    docs = [(k, words(random.Random(k).randint(0, 200), k)) for k in range(600)] + [(1000 + k, "the same text") for k in range(7000)] + [(9000 + k, words(30, 50)) for k in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = sharding.shard(df).collect()
     assert sorted((r["doc_id"], r["size"], r["shard"], r["slot"]) for r in got) == sorted(plain_shards(docs))
     assert all(r["text_crc32"] == zlib.crc32(dict(docs)[r["doc_id"]].encode()) for r in got)
     sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
     assert max(sizes) - min(sizes) < 0.05 * sum(sizes) / 8
+    # only the group that fits in no shard is divided
+    where = {}
+    for r in got:
+        where.setdefault(dict(docs)[r["doc_id"]], set()).add(r["shard"])
+    assert {t for t, s in where.items() if len(s) > 1} == {"the same text"}
     few = sharding.shard(df, shards=3, ranges=16).collect()
     assert sorted((r["doc_id"], r["size"], r["shard"], r["slot"]) for r in few) == sorted(plain_shards(docs, 3))
 
