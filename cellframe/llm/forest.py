@@ -30,8 +30,9 @@ from .hnsw import unit, usable
 NEAREST = 5
 TREES = 32
 BITS = 48
+#: Rows of an index block and queries that are put to it at once; an index block is sent once for so many queries.
 BLOCK = 8192
-QUERIES = 1024
+QUERIES = 8192
 FIRST = 256
 AUDIT = 64
 RECALL = 0.97
@@ -108,11 +109,19 @@ def nearest(forest: Forest, vectors: np.ndarray, queries: np.ndarray, k: int, au
         return rows[order], s[order]
 
     sample = queries[np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int)]
-    truth = [np.partition(vectors @ q, -min(k, len(vectors)))[-min(k, len(vectors)) :].min() for q in sample]
+    truth = []
+    for q in sample:
+        s = vectors @ q
+        s = s[s < 1 - 1e-12]  # equal vectors are found anyway
+        n = min(k, len(s))
+        truth.append((n, np.partition(s, -n)[-n] if n else 2.0))
     enough, most = FIRST, len(vectors) * len(forest.sorted)
     while enough < most:
-        got = [(s >= t - 1e-12).sum() for q, t, rows in zip(sample, truth, forest.candidates(sample, enough)) for s in (vectors[rows] @ q,)]
-        if np.minimum(got, k).mean() >= recall * min(k, len(vectors)):
+        got = 0
+        for (n, least), q, rows in zip(truth, sample, forest.candidates(sample, enough)):
+            s = vectors[rows] @ q
+            got += min(n, int(((s >= least - 1e-12) & (s < 1 - 1e-12)).sum()))
+        if got >= recall * sum(n for n, _ in truth):
             break
         enough *= 2
     for q, rows in zip(queries, forest.candidates(queries, min(enough, most))):

@@ -4,9 +4,12 @@ Vectors are compared only inside a label. Equal vectors of a label are one node
 a label are dealt by hash into shards of bounded size; each shard gets a layered graph (every node linked to near and diverse
 others, a few nodes on upper layers), built once and stored as bytes. Every node then searches every shard of its label, in blocks of bounded size: a beam
 walks each graph, and is doubled for a query as long as its worst hit is still within the threshold, as there may be more. Beams for all are widened until
-an audit, brute force over a sample of the queries, finds that the required recall has been met (a beam as wide as the shard is exhaustive). Hits
+an audit, brute force over queries drawn until enough true links to others are seen, finds that the required recall has been met (a beam as wide as the shard is exhaustive). Hits
 are verified in double precision on the original vectors, so there is no false link.
 
+Every shard of a label is asked for every node of it, so work and traffic grow with the square of a label's shards: labels should be far smaller than the table. n_links
+counts what a vector's own searches found.
+
 A task returns counts, and for unions only the links that its own union-find needed: at most one for each node it saw.
 
 Defined results. Vectors that are null, empty, zero, or hold a null, NaN or infinity, and rows with a null label, link with nothing. Vectors of different
@@ -28,13 +31,16 @@ from .common import documents, lookup, written
 from .components import components
 
 THRESHOLD = 0.98
-#: Nodes of a shard and queries of a block, about.
+#: Nodes of a shard and queries of a block, about; fewer if vectors are so long that they pass SHARD_BYTES. As blocks are no smaller than shards, a graph is sent no
+#: more often than it has as many queries as nodes.
 SHARD = 8192
-BLOCK = 2048
+BLOCK = 8192
+SHARD_BYTES = 64 << 20
 LINKS = 12
 BUILD_BEAM = 40
 BEAM = 24
-AUDIT = 48
+#: Audits go on until they saw so many true links, or all queries of the block.
+AUDIT = 64
 RECALL = 0.999
 
 
@@ -225,10 +231,8 @@ def _pairs(graph: Graph, queries: np.ndarray, beam: int, near: float) -> Iterato
     """(query, row) of hits with at least about `near`; a query whose whole beam is that near is asked again with twice the beam."""
     size = graph.sizes[0]
     for i in range(0, len(queries), 512):
-        asked, width = np.arange(i, min(i + 512, len(queries))), beam
+        asked, width = np.arange(i, min(i + 512, len(queries))), min(beam, size)
         while len(asked):
-            # a beam over a quarter of the graph costs more than looking at all of it
-            width = size if width * 4 > size else width
             step = max(8, min(512, 2_000_000 // width))
             again = []
             for j in range(0, len(asked), step):
@@ -238,17 +242,35 @@ def _pairs(graph: Graph, queries: np.ndarray, beam: int, near: float) -> Iterato
                 r, c = np.nonzero((sims >= near) & (rows >= 0) & ~full[:, None])
                 yield part[r], rows[r, c]
                 again.append(part[full])
-            asked, width = np.concatenate(again), width * 2
+            asked, width = np.concatenate(again), min(size, width * 2)
+
+
+def audited(vectors: np.ndarray, queries: np.ndarray, threshold: float, own: np.ndarray, links: int = AUDIT) -> tuple[np.ndarray, np.ndarray]:
+    """(sample, truth): some of the queries and, by brute force, which vectors each links to, itself (row `own`, -1: not among them) left out. As many
+    queries as it takes to see `links` true links, or all."""
+    order = np.random.default_rng(5).permutation(len(queries))
+    taken, truth, seen = [], [], 0
+    for i in range(0, len(order), 256):
+        part = order[i : i + 256]
+        near = queries[part] @ vectors.T >= threshold
+        mine = np.flatnonzero(own[part] >= 0)
+        near[mine, own[part][mine]] = False
+        linked = near.any(axis=1)
+        taken.append(part[linked])
+        truth.append(near[linked])
+        seen += int(near.sum())
+        if seen >= links:
+            break
+    return np.concatenate(taken), np.concatenate(truth)
 
 
-def within(graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, audit: int = AUDIT, recall: float = RECALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def within(graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, own: np.ndarray, audit: int = AUDIT, recall: float = RECALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, row) arrays of the pairs found with a cosine of at least the threshold in double precision, each once."""
     beam, near = BEAM, threshold - 1e-5
-    sample = queries[np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int)]
-    truth = (sample @ vectors.T) >= threshold
-    while beam < len(vectors):
+    sample, truth = audited(vectors, queries, threshold, own, audit)
+    while beam < len(vectors) and len(sample):
         hit = np.zeros_like(truth)
-        for q, at in _pairs(graph, sample, beam, near):
+        for q, at in _pairs(graph, queries[sample], beam, near):
             hit[q, at] = True
         if (hit & truth).sum() >= recall * truth.sum():
             break
@@ -303,7 +325,8 @@ def _cell(threshold: float):
         # one number for each node, in order of nodes, so that roots are smallest nodes
         every, at = np.unique(np.concatenate((mine, nodes)), return_inverse=True)
         forest = Forest(len(every))
-        for q, r in within(graph, vectors, queries, threshold):
+        place = np.minimum(np.searchsorted(nodes, mine), len(nodes) - 1)
+        for q, r in within(graph, vectors, queries, threshold, np.where(nodes[place] == mine, place, -1)):
             other = mine[q] != nodes[r]
             q, r = q[other], r[other]
             links += np.bincount(q, weights=n[r], minlength=len(mine)).astype(np.int64)
@@ -332,7 +355,8 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     nodes = written(nodes.withColumn("dim", F.size("v")).withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
     sizes = written(nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("_size")), "vector-labels")
     placed = nodes.join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, ["label", "dim"])
-    placed = placed.withColumn("shards", F.ceil(F.col("_size") / shard).cast("int")).withColumn("blocks", F.ceil(F.col("_size") / block).cast("int"))
+    fits = F.ceil(F.lit(float(SHARD_BYTES)) / (8 * F.col("dim")))
+    placed = placed.withColumn("shards", F.ceil(F.col("_size") / F.least(F.lit(shard), fits)).cast("int")).withColumn("blocks", F.ceil(F.col("_size") / F.least(F.lit(block), fits)).cast("int"))
     placed = placed.select("label", "dim", "node", "n", "v", "shards", "blocks", F.expr("pmod(k1, shards)").cast("int").alias("shard"), F.expr("pmod(k2, blocks)").cast("int").alias("block"))
 
     graphs = placed.groupBy("label", "dim", "shard").applyInPandas(_pack_shard, "label string, dim int, shard int, blocks int, nodes binary, n binary, vectors binary, graph binary")
