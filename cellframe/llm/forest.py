@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, written
-from .hnsw import unit, usable
+from .hnsw import number_type, numbers, unit, usable
 
 NEAREST = 5
 TREES = 32
@@ -132,7 +132,7 @@ def _pack(key, p: pd.DataFrame) -> pd.DataFrame:
     raw = np.stack(p["v"].to_numpy())
     ids = p["ids"].to_numpy()
     lengths = np.array([len(x) for x in ids], dtype="<i8")
-    return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [np.concatenate(ids).astype("<i8").tobytes()], "lengths": [lengths.tobytes()], "vectors": [raw.astype("<f8").tobytes()], "forest": [Forest(unit(raw)).dump()]})
+    return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [np.concatenate(ids).astype("<i8").tobytes()], "lengths": [lengths.tobytes()], "vectors": [raw.tobytes()], "forest": [Forest(unit(raw)).dump()]})
 
 
 def _cell(k: int):
@@ -142,7 +142,7 @@ def _cell(k: int):
             b = index.iloc[0]
             lengths = np.frombuffer(b["lengths"], "<i8")
             ids, first = np.frombuffer(b["ids"], "<i8"), np.concatenate(([0], np.cumsum(lengths)))
-            vectors = unit(np.frombuffer(b["vectors"], "<f8").reshape(len(lengths), -1))
+            vectors = unit(numbers(b["vectors"], len(lengths) * int(key[0])).reshape(len(lengths), -1))
             queries = unit(np.stack(asked["v"].to_numpy()))
             forest, own, vector = Forest.load(b["forest"]), asked["vec_id"].to_numpy(), asked["k2"].to_numpy()
             # as many more than asked for as there are vectors under the query's own id
@@ -160,10 +160,12 @@ def _cell(k: int):
 def search(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEAREST, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries its k nearest found among rows, its own id left out."""
 
+    number = "float" if {number_type(rows, embedding), number_type(queries, embedding)} == {"float"} else "double"
+
     def clean(df):
-        v = F.col(embedding).cast("array<double>")
+        v = F.col(embedding).cast(f"array<{number}>")
         df = df.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-        df = df.withColumn("v", F.transform("v", lambda x: x + 0.0))
+        df = df.withColumn("v", F.transform("v", lambda x: (x + 0.0).cast(number)))
         return df.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(1), "v"))
 
     # k + 1 ids of a vector suffice; the limit holds in each task before anything is shuffled

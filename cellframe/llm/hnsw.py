@@ -26,15 +26,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, lookup, written
 from .components import components
 
 THRESHOLD = 0.98
-#: Nodes of a shard and queries of a block, about; fewer if vectors are so long that they pass SHARD_BYTES. As blocks are no smaller than shards, a graph is sent no
-#: more often than it has as many queries as nodes.
+#: Nodes of a shard and queries of a block, about; fewer if vectors are so long that they pass SHARD_BYTES. A graph is sent once for each block: smaller blocks are
+#: more tasks of a large label, larger ones less traffic.
 SHARD = 8192
-BLOCK = 8192
+BLOCK = 2048
 SHARD_BYTES = 64 << 20
 LINKS = 12
 BUILD_BEAM = 40
@@ -223,6 +224,7 @@ class Graph:
 
 def unit(raw: np.ndarray) -> np.ndarray:
     """Rows of length one, in double precision; scaled first so that no square overflows or vanishes."""
+    raw = raw.astype(np.float64)
     raw = raw / np.abs(raw).max(axis=1, keepdims=True)
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
@@ -304,11 +306,22 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
+def numbers(data: bytes, count: int) -> np.ndarray:
+    """So many floats of whatever width fills the bytes."""
+    return np.frombuffer(data, "<f4" if len(data) == 4 * count else "<f8")
+
+
+def number_type(rows: DataFrame, column: str) -> str:
+    """float for vectors of floats, which are sent as they are; else double. Cosines are taken in double precision either way."""
+    kind = rows.schema[column].dataType
+    return "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"
+
+
 def _pack_shard(key, p: pd.DataFrame) -> pd.DataFrame:
     p = p.sort_values("node")
     raw = np.stack(p["v"].to_numpy())
     graph = Graph(unit(raw))
-    return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "blocks": [p["blocks"].iloc[0]], "nodes": [p["node"].to_numpy("<i8").tobytes()], "n": [p["n"].to_numpy("<i8").tobytes()], "vectors": [raw.astype("<f8").tobytes()], "graph": [graph.dump()]})
+    return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "blocks": [p["blocks"].iloc[0]], "nodes": [p["node"].to_numpy("<i8").tobytes()], "n": [p["n"].to_numpy("<i8").tobytes()], "vectors": [raw.tobytes()], "graph": [graph.dump()]})
 
 
 def _cell(threshold: float):
@@ -317,7 +330,7 @@ def _cell(threshold: float):
             return pd.DataFrame({"node": [], "links": [], "other": []})
         s, dim = shard.iloc[0], int(key[1])
         nodes, n = np.frombuffer(s["nodes"], "<i8"), np.frombuffer(s["n"], "<i8")
-        vectors = unit(np.frombuffer(s["vectors"], "<f8").reshape(-1, dim))
+        vectors = unit(numbers(s["vectors"], len(nodes) * dim).reshape(-1, dim))
         graph = Graph.load(s["graph"], vectors)
         block = block.sort_values("node")
         mine, queries = block["node"].to_numpy(np.int64), unit(np.stack(block["v"].to_numpy()))
@@ -346,9 +359,10 @@ def usable(v):
 
 def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    v = F.col(embedding).cast("array<double>")
+    number = number_type(rows, embedding)
+    v = F.col(embedding).cast(f"array<{number}>")
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), v.alias("v"))
-    rows = rows.withColumn("v", F.when(F.col("label").isNotNull() & usable(F.col("v")), F.transform("v", lambda x: x + 0.0)))
+    rows = rows.withColumn("v", F.when(F.col("label").isNotNull() & usable(F.col("v")), F.transform("v", lambda x: (x + 0.0).cast(number))))
     # two hashes, 128 bits, stand for a label and vector
     rows = written(rows.withColumn("k1", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))).withColumn("k2", F.when(F.col("v").isNotNull(), F.xxhash64("v", "label", F.lit(1)))), "vectors")
     nodes = rows.filter("v is not null").groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low"))
