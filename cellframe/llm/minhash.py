@@ -1,7 +1,9 @@
-"""Near-dedup by MinHash: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+"""Near-dedup beyond the reach of fingerprints: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-Each set has BANDS keys of ROWS minima; sets of similarity s share a key with the chance 1 - (1 - s^ROWS)^BANDS, which is 0.99995 at 0.8. What shares a
-key is only a candidate: every link is verified on the whole sets. Equal sets are one node.
+At a similarity of 0.8 about 15 % of the bits of two fingerprints differ, 10 of 64, and to meet within 2 of a key's 23 bits would take hundreds of Golay keys a document. So the
+Golay keys of simhash.py give the first candidates, which are nearly equal texts, and MinHash gives the others: each set has BANDS keys of ROWS minima; sets of
+similarity s share a key with the chance 1 - (1 - s^ROWS)^BANDS, which is 0.99995 at 0.8. Whatever it comes from, a pair is only a candidate: every link is verified on the whole
+sets. Equal sets are one node.
 
 In a bucket of up to SMALL nodes all pairs are verified. In a larger one nodes are first verified against a leader of the bucket, for some rounds with
 another leader each, and nodes that are linked already, by whatever way, need no more looks at each other. Then all pairs of the
@@ -64,12 +66,14 @@ def _signatures(shingle: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            node, n, bands = np.zeros(len(b), dtype=np.uint64), np.zeros(len(b), dtype=np.int64), []
+            node, fp, n, bands = np.zeros(len(b), dtype=np.uint64), np.zeros(len(b), dtype=np.uint64), np.zeros(len(b), dtype=np.int64), []
             for i, t in enumerate(b["text"]):
-                found = shingles(t, shingle)
+                hashes = simhash.shingle_hashes(t, shingle)
+                fp[i] = simhash.majority(hashes) if len(hashes) else 0
+                found = np.unique(hashes)
                 node[i], n[i] = xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), simhash.SEED), len(found)
                 bands.append(band_keys(found))
-            yield pd.DataFrame({"doc_id": ids_back(b["doc_id"], b["_no_id"]), "text_hash": b["text_hash"], "node": node.view(np.int64), "n": n, "bands": bands})
+            yield pd.DataFrame({"doc_id": ids_back(b["doc_id"], b["_no_id"]), "text_hash": b["text_hash"], "node": node.view(np.int64), "fp": fp.view(np.int64), "n": n, "bands": bands})
 
     return run
 
@@ -99,13 +103,25 @@ def _pairs(a: DataFrame, b: DataFrame, on: str, similarity: float, apart) -> Dat
     return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
 
+def golay_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): candidates by fingerprints: nodes of one fingerprint with the least of them, and the least nodes of fingerprints that Golay keys link."""
+    some = nodes.filter("n > 0").select("node", "fp")
+    least = written(some.groupBy("fp").agg(F.min("node").alias("least")), "simhash-least")
+    same = some.join(least, "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    linked = simhash.links(least.select("fp"))
+    a, b = (least.select(F.col("fp").alias(f"_{c}"), F.col("least").alias(f"_least_{c}")) for c in "ab")
+    near = linked.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select(F.col("_least_a").alias("a"), F.col("_least_b").alias("b"))
+    return written(same.unionByName(near), "simhash-pairs")
+
+
 def links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, shingle: int, similarity: float) -> DataFrame:
     """(node, component) as components() gives them, of all verified candidates."""
     keyed = written(nodes.select("node", "n", F.explode("bands").alias("key")), "minhash-keys")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = written(keyed.join(sizes, "key"), "minhash-buckets")
     # whole sets only of nodes that have a candidate
-    wanted = shared.select(F.col("node").alias("_node")).distinct().join(nodes, F.col("node") == F.col("_node")).select("node", F.col("at.doc_id").alias("_i"), F.col("at.text_hash").alias("_t"))
+    nearly = golay_pairs(nodes)
+    wanted = shared.select("node").union(nearly.select("a")).union(nearly.select("b")).select(F.col("node").alias("_node")).distinct().join(nodes, F.col("node") == F.col("_node")).select("node", F.col("at.doc_id").alias("_i"), F.col("at.text_hash").alias("_t"))
     wanted = written(wanted, "minhash-wanted")
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(wanted) if is_small(wanted) else wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")))
@@ -114,7 +130,8 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, shingle: in
     sets = written(sets, "minhash-sets")
 
     few = shared.filter(F.col("size") <= SMALL).select("key", "node", "n")
-    found = written(verified(_pairs(few, few, "key", similarity, F.col("node") < F.col("o_node")), sets, similarity), "minhash-links")
+    pairs = _pairs(few, few, "key", similarity, F.col("node") < F.col("o_node"))
+    found = written(verified(nearly.unionByName(pairs).distinct(), sets, similarity), "minhash-links")
     of = components(found)
     live = written(shared.filter(F.col("size") > SMALL).select("key", "node", "n"), "minhash-large")
     for k in range(ROUNDS + 1):
@@ -145,9 +162,9 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, shingle: in
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, text_hash, node (a hash of its set), component (a node), component_id."""
-    rows = docs.select(*id_columns(doc_id), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInPandas(_signatures(shingle), "doc_id long, text_hash long, node long, n long, bands array<long>")
+    rows = docs.select(*id_columns(doc_id), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInPandas(_signatures(shingle), "doc_id long, text_hash long, node long, fp long, n long, bands array<long>")
     rows = written(rows, "minhash")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = written(nodes, "minhash-nodes")
     of = links(docs, nodes, text, doc_id, shingle, similarity).withColumnRenamed("node", "_node")
     named = nodes.join(of, F.col("node") == F.col("_node"), "left").select("node", "low", F.coalesce("component", "node").alias("component"))
@@ -155,8 +172,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ids = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = written(named.join(ids, "component").select(F.col("node").alias("_node"), "component", "component_id"), "minhash-ids")
     return rows.join(named, F.col("node") == F.col("_node")).select("doc_id", "text_hash", "node", "component", "component_id")
-
-
-def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without all but one row of each component: the one with the smallest id (a null id only if there is no other)."""
-    return simhash.one_of_each(docs, near_duplicates(docs, text, doc_id, shingle, similarity), text, doc_id)

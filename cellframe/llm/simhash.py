@@ -183,9 +183,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.join(named, rows["fp"] == named["_fp"]).select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
-def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """docs without all but one row of each component: the one with the smallest id (a null id only if there is no other)."""
-    return one_of_each(docs, near_duplicates(docs, text, doc_id, shingle), text, doc_id)
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """docs without all but one row of each component: the one with the smallest id (a null id only if there is no other).
+
+    Without a similarity, fingerprints within RADIUS bits are linked; with one, documents whose sets of shingles are that similar, verified on the whole sets.
+    """
+    if similarity is None:
+        return one_of_each(docs, near_duplicates(docs, text, doc_id, shingle), text, doc_id)
+    from . import minhash
+
+    return one_of_each(docs, minhash.near_duplicates(docs, text, doc_id, shingle, similarity), text, doc_id)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:

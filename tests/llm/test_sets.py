@@ -516,7 +516,7 @@ def test_large_buckets_are_all_pairs(spark, monkeypatch):
 
 def test_minhash_odd(spark, odd, none):
     assert minhash.near_duplicates(odd).count() == odd.count() and minhash.near_duplicates(none).count() == 0
-    kept = minhash.representatives(odd)
+    kept = simhash.representatives(odd, shingle=5, similarity=0.8)
     assert kept.columns == odd.columns and sum(1 for r in kept.collect() if not (r["text"] or "").strip()) == 1
 
 
@@ -571,6 +571,46 @@ def test_stages_on_nothing_and_odd(spark, sf_dir, odd, none):
             out.collect()
 
 
+def test_stages_are_brute_force(spark, sf_dir):
+    """Each stage against a plain version on its own input."""
+    from cellframe.llm import quality
+
+    from .test_queries import plain_ftrl
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
+    stage = dict(corpus_pipeline.STAGES)
+
+    order = {r["doc_id"]: r["o"] for r in docs.select("doc_id", F.xxhash64(F.lit("quality"), F.col("doc_id").cast("string")).alias("o")).collect()}
+    learnt = sorted({(order[d], d, t) for d, t in rows(docs) if d in labels and zlib.crc32(str(d).encode()) % 4 != 2})
+    sparse = lambda t: dict(zip(*(x.tolist() for x in quality.features(t))))
+    w = plain_ftrl([sparse(t) for _, _, t in learnt], [labels[d] for _, d, _ in learnt], quality.BUCKETS, quality.EPOCHS, quality.ALPHA, quality.BETA, quality.L1, quality.L2)
+    score = lambda t: quality.sigmoid(sum(w.get(i, 0.0) * v for i, v in sparse(t).items()) + w[quality.BUCKETS])
+    good = written(stage["quality classifier"](spark, docs, sf_dir), "test")
+    assert sorted(rows(good), key=str) == sorted((x for x in rows(docs) if score(x[1]) >= 0.7), key=str)
+
+    cut = plain_dedup(rows(good))
+    lines = written(stage["line dedup"](spark, good, sf_dir), "test")
+    assert sorted(rows(lines), key=str) == sorted(((d, cut.get((d, t), t)) for d, t in rows(good) if cut.get((d, t), t) == t or cut[d, t].split()), key=str)
+
+    near = written(stage["near-dedup"](spark, lines, sf_dir), "test")
+    texts = sorted({(d is None, d or 0, t or "") for d, t in rows(lines)})
+    of = similar_components([t for _, _, t in texts])
+    assert sorted((d or 0 for d, _ in rows(near))) == sorted(texts[k][1] for k in set(of))
+
+    mixed = written(stage["mixing"](spark, near, sf_dir), "test")
+    copies = {(r["doc_id"], r["_hash"]): r["copies"] for r in mixing.mix(near).collect()}
+    assert mixed.count() == sum(copies.values())
+
+    packed = stage["packing"](spark, mixed, sf_dir).collect()
+    ends = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0) and r["offset"] + r["length"] <= 2048
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert sorted(r["doc_id"] or 0 for r in packed if r["piece"] == 0) == sorted(d or 0 for d, _ in rows(mixed))
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 50
