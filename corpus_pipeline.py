@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import linededup, minhash, mixing, packing, quality
+from cellframe.llm import linededup, mixing, packing, quality, simhash
 from cellframe.llm.common import WORD, crc32_of, documents, row_back, whole_row, written
 
 
@@ -31,7 +31,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity of 0.8 or more) stays, the one with the smallest id."""
-    return minhash.representatives(docs)
+    return simhash.representatives(docs, shingle=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
