@@ -33,7 +33,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 SMALL = 24
 #: Leaders that a large bucket has at most.
-ROUNDS = 6
+ROUNDS = 2
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:

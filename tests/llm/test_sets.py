@@ -251,7 +251,13 @@ def test_range_of(spark):
 # --- near-duplicates ---
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr("cellframe.llm.components.ONE_TASK", one_task)
+    _components(spark)
+
+
+def _components(spark):
     r = random.Random(5)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(1000 + k, 1001 + k) for k in range(100)] + [(5000, 5000 + k) for k in range(1, 200)] + [(7, 7), (None, 3)]
     parent = {}
