@@ -138,12 +138,15 @@ class HillShade(_Stencil):
     def over(self, df, grid):
         _, altitude, azimuth, fill = self.args
         df = df.withColumn("v", F.coalesce(F.col("v").cast("double"), F.lit(fill).cast("double")))
-        beside = df.select("*", F.lag("v").over(row()).alias("l"), F.lead("v").over(row()).alias("r"))
-        names = ["l", "v", "r"]
-        around = beside.select("*", *(F.lag(c).over(column()).alias(f"u{c}") for c in names), *(F.lead(c).over(column()).alias(f"d{c}") for c in names))
-        s = [F.col(c) for c in ("ul", "uv", "ur", "l", "v", "r", "dl", "dv", "dr")]
-        y = ((s[0] + 2 * s[1] + s[2] - s[6] - 2 * s[7] - s[8]) / grid.dy).cast("float").cast("double")
-        x = ((s[0] + 2 * s[3] + s[6] - s[2] - 2 * s[5] - s[8]) / grid.dx).cast("float").cast("double")
+        # Horn's gradients: three cells on either side, the one in the middle twice
+        beside = df.select("*", F.lag("v").over(row()).alias("west"), F.lead("v").over(row()).alias("east"))
+        columns = beside.select("*", (F.col("west") + 2 * F.col("v") + F.col("east")).alias("across"))
+        for side in ("west", "east"):
+            columns = columns.withColumn(f"along_{side}", F.lag(side).over(column()) + 2 * F.col(side) + F.lead(side).over(column()))
+        around = columns.select("*", F.lag("across").over(column()).alias("north"), F.lead("across").over(column()).alias("south"))
+        single = lambda c: c.cast("float").cast("double")
+        y = single((F.col("north") - F.col("south")) / grid.dy)
+        x = single((F.col("along_west") - F.col("along_east")) / grid.dx)
         alt, az, k = math.radians(altitude), math.radians(azimuth), 1 / 8
         slope = x * x + y * y
         c = (math.sin(alt) - math.cos(alt) * k * F.sqrt(slope) * F.sin(F.atan2(y, x) - az)) / F.sqrt(1 + k * k * slope)
