@@ -19,9 +19,12 @@ from ..plans.raster import RasterBlock
 
 
 def scratch(spark, name: str) -> str:
-    """A fresh folder for passing data on, in the folder that driver and executors share if there is one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder for passing data on, in the folder that driver and executors share. In local mode a temporary one does; on a cluster it would lose data, so it raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import atexit
         import shutil
         import tempfile
