@@ -203,6 +203,9 @@ def parse_percentile(statistic: str) -> float | None:
 def statistic_dtype(dtype: str, statistic: str) -> str:
     if statistic in ("min", "max", "first", "last"):
         return dtype
+    if statistic == "product" and not is_float(dtype):
+        # outgrows any integer, and is computed in double precision
+        return "float64"
     if statistic in ("sum", "product"):
         return math_dtype(dtype)
     if statistic in ("count", "argmin", "argmax"):

@@ -163,6 +163,16 @@ def test_reduce(spark, statistic, expected):
     assert [None if x is None else float(x) for x in got] == pytest.approx(expected, abs=1e-6, nan_ok=True) if None not in expected else all((a is None) == (b is None) and (a is None or abs(float(a) - b) < 1e-6) for a, b in zip(got, expected))
 
 
+@pytest.mark.parametrize("dtype,big", [("int64", 4 * 10**6), ("int32", 2 * 10**4), ("uint8", 250)])
+def test_product_outgrows_integers(spark, dtype, big):
+    a = raster([[big, 3]], none=0, dtype=dtype)
+    # three values for rasters side by side, four for stamps at one place
+    found = combine.Reduce("product", a, a, a)
+    assert found.dtype == "float64" and only(spark, found) == [[float(big**3), 27.0]]
+    stamped = spatial.Place(a, "EPSG:3857", (0, 0), [(0, 0)] * 4, "product")
+    assert stamped.dtype == "float64" and only(spark, stamped, bbox=(0, 0, 2, 1), width=2, height=1, projection="EPSG:3857") == [[float(big**4), 81.0]]
+
+
 def test_percentile_names():
     assert parse_percentile("p75") == 75 and parse_percentile("sum") is None
     with pytest.raises(ValueError):
