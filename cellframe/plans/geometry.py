@@ -5,6 +5,7 @@ A series keeps the table it comes from; series of one table compose into express
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ class FeatureRequest:
     #: WKT or a box, in `projection`; None for everything.
     geometry: object = None
     projection: str | None = None
-    limit: int | None = None
+    limit: float | None = None
     min_size: float | None = None
     filters: tuple = ()
     start: object = None
@@ -107,9 +108,10 @@ def chosen(df: DataFrame, request: FeatureRequest, source_crs: str, spark=None,
         else:
             df = df.filter(touches(F.col("geom"), geo.literal(*request.rings)))
     if request.limit is not None:
-        df = df.orderBy("_ord").limit(request.limit)
+        # an infinite limit asks for everything
+        df = df if request.limit == math.inf else df.orderBy("_ord").limit(request.limit)
     elif guard is not None and request.mode != "extent" and len(df.limit(guard + 1).select("fid").take(guard + 1)) > guard:
-        raise RuntimeError(f"more than geometry-limit ({guard}) features; ask for a limit or a smaller geometry")
+        raise RuntimeError(f"more than geometry-limit ({guard}) features; ask for a limit (math.inf: all) or a smaller geometry")
     return df
 
 
@@ -158,8 +160,8 @@ class GeometryBlock(Block):
         df = ctx.features(self, request).select(*(c.alias(n) for n, c in b.items()))
         return df.agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
 
-    def get_data(self, spark: SparkSession, mode: str = "intersects", geometry=None, projection: str | None = None, limit: int | None = None, min_size: float | None = None, filters: dict | None = None, start=None, stop=None) -> DataFrame:
-        """fid, geom and properties; in mode extent one row (minx, miny, maxx, maxy), of nulls if there is nothing."""
+    def get_data(self, spark: SparkSession, mode: str = "intersects", geometry=None, projection: str | None = None, limit: float | None = None, min_size: float | None = None, filters: dict | None = None, start=None, stop=None) -> DataFrame:
+        """fid, geom and properties; in mode extent one row (minx, miny, maxx, maxy), of nulls if there is nothing. A limit of math.inf asks for everything, whatever geometry-limit is."""
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}")
         geometry = tuple(geometry) if isinstance(geometry, (list, tuple)) else geometry

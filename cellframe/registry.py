@@ -6,6 +6,7 @@ and customer points; series are over line items. All queries read whole tables.
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -445,7 +446,7 @@ def _written_features(spark, sf_dir):
 
     url = scratch(spark, "features")
     zones(spark, sf_dir).to_file(spark, url, fields={"name": "s_name", "balance": "s_acctbal", "id": "fid"})
-    return GeometryFileSource(url, None, "id").get_data(spark).select("fid", "name", "balance", F.round(geo.area(F.col("geom")), 4).alias("area"))
+    return GeometryFileSource(url, None, "id").get_data(spark, limit=math.inf).select("fid", "name", "balance", F.round(geo.area(F.col("geom")), 4).alias("area"))
 
 
 table_query("snk_geometry_roundtrip", _written_features, "SELECT fid, s_name AS name, s_acctbal AS balance, round((x1 - x0) * (y1 - y0), 4) AS area FROM zones")

@@ -41,7 +41,7 @@ class GeometryWKTSource(GeometryBlock):
 
 
 class GeometryFileSource(GeometryBlock):
-    """Features of a file or folder: GeoJSON (a collection, or a feature per line), GeoPackage, shapefile, or Parquet as GeometryFileSink writes it. More features than geometry-limit are an error unless a limit is asked for."""
+    """Features of a file or folder: GeoJSON (a collection, or a feature per line), GeoPackage, shapefile, or Parquet as GeometryFileSink writes it. More features than geometry-limit are an error unless a limit is asked for; math.inf asks for all."""
 
     def __init__(self, url: str, layer: str | None = None, id_field: str | None = None):
         from .files import feature_schema

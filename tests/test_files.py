@@ -1,6 +1,7 @@
 """Round trips of files, sinks, and the streaming window."""
 
 import json
+import math
 import sqlite3
 import struct
 from datetime import datetime, timedelta
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellframe import registry
 from cellframe.functions import geometry as geo
 from cellframe.plans.block import Block
 from cellframe.plans.meta import Grid
@@ -75,6 +77,18 @@ def test_geometry_limit(spark, features, tmp_path):
         spark.conf.unset("cellframe.geometry-limit")
 
 
+def test_all_features_beyond_the_limit(spark, features, tmp_path):
+    features.to_file(spark, f"{tmp_path}/f")
+    spark.createDataFrame([(k, f"s{k}", k % 25, k / 2) for k in range(9)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.conf.set("cellframe.geometry-limit", "1")
+    try:
+        assert GeometryFileSource(f"{tmp_path}/f").get_data(spark, limit=math.inf).count() == 2
+        got = registry.QUERIES["snk_geometry_roundtrip"](spark, f"{tmp_path}").orderBy("fid").collect()
+        assert [tuple(r) for r in got] == [(k, f"s{k}", k / 2, float((1 + k % 3) ** 2)) for k in range(9)]
+    finally:
+        spark.conf.unset("cellframe.geometry-limit")
+
+
 def test_feature_collection(spark, tmp_path):
     geometry = lambda k, c: {"type": k, "coordinates": c}
     rows = [geometry("Point", [1, 2]), geometry("LineString", [[0, 0], [1, 1]]), geometry("Polygon", [[[0, 0], [1, 0], [1, 1], [0, 0]]]), geometry("MultiPolygon", [[[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]]]]), None]
